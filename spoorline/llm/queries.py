@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import report
 from .line_dedup import dedup_lines
+from .packing import pack
 from .quality_rules import judge
 from .token_count import count_tokens
 
@@ -19,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
@@ -27,7 +33,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents")).drop("rk")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_line_dedup, op6_quality_rules)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("rk", "hit")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_packing, op4_line_dedup, op6_quality_rules, op10_decontamination)}
 
 #: The lines of a text, and their keys, in DuckDB.
 _LINES = """
@@ -42,4 +52,17 @@ ORACLE_SQL: dict[str, str] = {
 SELECT doc_id, any_value(n_lines) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op10_decontamination": r"""WITH
+  split AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+  worded AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM split),
+  wins AS (SELECT id AS item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS win
+           FROM worded, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE kind = 'b' AND len(w) > 0),
+  found AS (SELECT d.id AS doc_id, i, s.n, d.item_id FROM (SELECT DISTINCT n FROM wins) s,
+              LATERAL (SELECT x.id, i, b.item_id FROM worded x, unnest(range(1, len(x.w) - s.n + 2)) u(i), wins b
+                       WHERE x.kind = 'd' AND b.n = s.n AND b.win = array_to_string(x.w[i : i + s.n - 1], ' ')) d),
+  hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + n)) u(p) GROUP BY doc_id),
+  items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM worded w LEFT JOIN hit h ON h.doc_id = w.id LEFT JOIN items i ON i.doc_id = w.id WHERE w.kind = 'd'""",
 }
