@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom, suspected
 from .common import keyed, over_batches, saved, texts
 
-#: A filter has SEGMENTS parts of SEGMENT_BITS bits: 16 MB, whatever the input. A fuller filter lets more lines through
-#: to the exact step; it never loses one.
-SEGMENTS, SEGMENT_BITS, PROBES = 512, 1 << 18, 3
-
 
 def line_keys(text: bytes, least: int) -> tuple[list[bytes], list[bytes | None]]:
     """Lines of a text, and each one's key: ASCII space stripped, A-Z lower-cased; None if under `least` code points."""
@@ -28,77 +24,13 @@ def line_keys(text: bytes, least: int) -> tuple[list[bytes], list[bytes | None]]
     return lines, keys
 
 
-def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segment, and PROBES bit positions within it, of 64-bit hashes."""
-    at = np.stack([(h >> np.uint64(9 + 18 * k)) & np.uint64(SEGMENT_BITS - 1) for k in range(PROBES)])
-    return (h & np.uint64(SEGMENTS - 1)).astype(np.int64), at.astype(np.int64)
-
-
-def _packed(positions: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(np.unique(positions), prepend=0).astype(np.uint32).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64))
-
-
-def _task_filters(least: int):
-    """Each task's own pair of filters, as bit positions by segment."""
-
-    def run(batches):
-        seen = []
-        for b in batches:
-            for x in texts(b):
-                ks = {k for k in line_keys(x, least)[1] if k is not None}
-                if ks:
-                    seen.append(np.fromiter(map(xxhash.xxh3_64_intdigest, ks), np.uint64, len(ks)))
-        if not seen:
-            return
-        h, n = np.unique(np.concatenate(seen), return_counts=True)
-        seg, at = probes(h)
-        order = np.argsort(seg, kind="stable")
-        seg, at, twice = seg[order], at[:, order], n[order] > 1
-        bounds = np.searchsorted(seg, np.arange(SEGMENTS + 1))
-        rows = [(s, _packed(at[:, i:j].ravel()), _packed(at[:, i:j][:, twice[i:j]].ravel())) for s, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["segment", "once", "twice"])
-
-    return run
-
-
-def _merged(batches):
-    """Rows sorted by segment: the union of once, and of twice what is in twice or in two tasks' once. One segment is held at a time."""
-    now, once, twice = None, None, None
-
-    def out():
-        return pa.record_batch([pa.array([now], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["segment", "twice"])
-
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if r[0] != now:
-                if now is not None:
-                    yield out()
-                now, once, twice = r[0], np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-            at = _unpacked(r[1])
-            twice[at[once[at]]] = True
-            twice[_unpacked(r[2])] = True
-            once[at] = True
-    if now is not None:
-        yield out()
+def _hashed(keys: set[bytes] | list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
 def twice_seen(docs: DataFrame, least: int) -> np.ndarray:
-    """The filter of lines seen twice or more, SEGMENTS x SEGMENT_BITS / 8 bytes."""
-    parts = docs.select("text").mapInArrow(_task_filters(least), "segment int, once binary, twice binary")
-    whole = parts.repartition(64, "segment").sortWithinPartitions("segment").mapInArrow(_merged, "segment int, twice binary")
-    bits = np.zeros((SEGMENTS, SEGMENT_BITS // 8), np.uint8)
-    for r in whole.collect():  # at most SEGMENTS rows of 32 KB
-        bits[r["segment"]] = np.frombuffer(r["twice"], np.uint8)
-    return bits
-
-
-def _suspected(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    seg, at = probes(h)
-    return np.logical_and.reduce([(bits[seg, a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & 1 == 1 for a in at])
+    """The filter of keys that two or more rows hold."""
+    return bloom(docs.select("text"), lambda b: [_hashed(ks) for x in texts(b) if (ks := {k for k in line_keys(x, least)[1] if k is not None})], "twice")
 
 
 def line_drops(docs: DataFrame, least: int = 20, in_docs: int = 3, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +50,7 @@ def line_drops(docs: DataFrame, least: int = 20, in_docs: int = 3, keep_text: bo
             for x in texts(b):
                 lines, keys = line_keys(x, least)
                 ks = list({k for k in keys if k is not None})
-                hit = _suspected(known, np.fromiter(map(xxhash.xxh3_64_intdigest, ks), np.uint64, len(ks))) if ks else ()
+                hit = suspected(known, _hashed(ks)) if ks else ()
                 found = [xxhash.xxh3_128_digest(k) for k, y in zip(ks, hit, strict=True) if y]
                 n_lines.append(len(lines))
                 sus.append(found)

@@ -10,6 +10,7 @@ from .decontaminate import report
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import judge
+from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
 
 
@@ -21,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("rk", "hit")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_packing, op4_line_dedup, op6_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_packing, op4_line_dedup, op6_quality_rules, op10_decontamination)}
 
 #: The lines of a text, and their keys, in DuckDB.
 _LINES = """
