@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder of the public vocabulary files; only the default of a parameter.
@@ -40,14 +40,15 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(rk, doc_id, text) of docs. rk is a hash of id and text: rows that are equal in both share it, and share their results.
+def row_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Column:
+    """A hash of id and text: rows that are equal in both share it, and share their results. Never null."""
+    t = F.coalesce(docs[text].cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.coalesce(docs[doc_id].cast("long").cast("string"), F.lit("-")), F.lit(" "), t)))
+
 
-    Joins on rk are safe for null ids, repeated ids and repeated rows.
-    """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    i = F.col(doc_id).cast("long")
-    return docs.select(F.unhex(F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("-")), F.lit(" "), t))).alias("rk"), i.alias("doc_id"), t.alias("text"))
+def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(rk, doc_id, text) of docs, text never null. Joins on rk are safe for null ids, repeated ids and repeated rows."""
+    return docs.select(row_key(docs, text, doc_id).alias("rk"), docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
 
 
 def over_batches(make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, over_batches, saved, texts
+from .common import keyed, over_batches, row_key, saved, texts
 from .components import components
 from .repeats import _INVERSE, _MULTIPLIER, _TABLE, _upto
 from .suffix_dedup import _longs, _only
@@ -263,7 +263,7 @@ def _with_tokens(k: int):
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999, depth: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row of docs: rk, doc_id, class_id, set_id, n_shingles, n_links, n_text_links.
+    """Per row of docs: rk, doc_id, class_id, set_id, n_shingles, n_links, n_text_links, class_key (never null).
 
     set_id: the least doc_id of those with an equal shingle set. class_id: the least doc_id of all that a chain of links
     joins. n_text_links: other sets at Jaccard >= threshold; n_links: other documents, copies counted. Null, empty or
@@ -306,7 +306,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     found = classes.join(links, "dk", "left").join(roots, "dk", "left").withColumn("root", F.coalesce("root", "dk"))
     found = saved(found, "found")
     named = found.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    found = found.join(named, "root").select("set_key", "class_id", "set_id", "copies", "links", "docs")
+    found = found.join(named, "root").select("set_key", "class_id", "set_id", "copies", "links", "docs", F.col("root").alias("class_key"))
     zero = F.lit(0).cast("long")
     return scanned.select("rk", "doc_id", "set_key", "size").join(found, "set_key").select(
         "rk",
@@ -316,4 +316,17 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
         F.col("size").cast("long").alias("n_shingles"),
         (F.coalesce("docs", zero) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("links", zero).alias("n_text_links"),
+        "class_key",
     )
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """docs with one row of each class: that of its least doc_id (a null id only where there is no other). All columns stay.
+
+    The least is found by a map-side minimum, so that a class of any size is a row a task.
+    """
+    found = jaccard_classes(docs, text=text, doc_id=doc_id, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
+    kept = saved(found.groupBy("class_key").agg(first.alias("first")).select(F.col("first.rk").alias("__rk")), "kept")
+    own = docs.withColumn("__rk", row_key(docs, text, doc_id))
+    return own.join(kept, "__rk", "left_semi").dropDuplicates(["__rk"]).select(*docs.columns)

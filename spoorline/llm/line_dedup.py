@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, suspected
-from .common import keyed, over_batches, saved, texts
+from .common import keyed, over_batches, row_key, saved, texts
 
 
 def line_keys(text: bytes, least: int) -> tuple[list[bytes], list[bytes | None]]:
@@ -100,3 +100,24 @@ def dedup_lines(docs: DataFrame, least: int = 20, in_docs: int = 3, text: str =
     joined = scanned.join(drops, "rk", "left").select("rk", "doc_id", "n_lines", "kept_sha256", "text", "keys")
     out = joined.mapInArrow(over_batches(make), "rk binary, doc_id long, n_lines long, n_dropped long, kept_sha256 string, text string")
     return out if with_text else out.drop("rk", "text")
+
+
+def without_repeats(docs: DataFrame, least: int = 20, in_docs: int = 3, text: str = "text", doc_id: str = "doc_id", chars: str | None = "n_chars") -> DataFrame:
+    """docs with the lines that dedup_lines() drops cut from their texts, and the count of characters, if any, made anew.
+
+    All columns and rows stay, texts that lose all their lines as empty ones.
+    """
+    _, drops = line_drops(keyed(docs, text, doc_id), least, in_docs)
+    drops = saved(drops.select(F.col("rk").alias("__rk"), F.col("keys").alias("__keys")), "drops")
+    at, names = docs.columns.index(text), docs.columns
+
+    def make():
+        def step(b: pa.RecordBatch):
+            out = [x if x is None or not gone else _kept(x, set(gone), least)[0] for x, gone in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in range(len(names))], names=names)
+
+        return step
+
+    joined = docs.join(drops, row_key(docs, text, doc_id) == F.col("__rk"), "left").select(*names, "__keys")
+    out = joined.mapInArrow(over_batches(make), docs.schema)
+    return out.withColumn(chars, F.coalesce(F.length(text).cast(docs.schema[chars].dataType), F.col(chars))) if chars in names else out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, over_batches, saved, texts
+from .common import keyed, over_batches, row_key, saved, texts
 
 SPACES, SYMBOLS, DIGITS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"0123456789"
 #: Common words of the four languages, fixed values.
@@ -122,3 +122,9 @@ def judge(docs: DataFrame, threshold: float = 0.5, text: str = "text", doc_id: s
         score = score + F.when(F.col(n) == 1, F.lit(float(w[2]))).when(F.col(n) == -1, F.lit(float(w[0]))).otherwise(F.lit(float(w[1])))
     p = 1 / (1 + F.exp(-score))
     return seen.withColumn("p_good", p).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that judge() keeps, with all columns."""
+    gone = saved(judge(docs, threshold, text, doc_id).where(~F.col("kept")).select(F.col("rk").alias("__rk")).distinct(), "rejected")
+    return docs.join(gone, row_key(docs, text, doc_id) == F.col("__rk"), "left_anti")

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import language_id, quality_classifier
 from .decontaminate import report
 from .jaccard_join import jaccard_classes
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import judge
@@ -35,19 +37,32 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "pages"), language_id.train(_table(spark, sf_dir, "documents")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents")).drop("rk")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(_table(spark, sf_dir, "documents")).drop("rk")
+    return jaccard_classes(_table(spark, sf_dir, "documents")).drop("rk", "class_key")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("rk", "hit")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_packing, op4_line_dedup, op6_quality_rules, op8_jaccard_join, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_packing, op4_line_dedup, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_jaccard_join, op9_license_scan, op10_decontamination)}
 
 #: The lines of a text, and their keys, in DuckDB.
 _LINES = """
