@@ -94,12 +94,13 @@ def services(totals: DataFrame, targets: dict[str, float] | None, window: int, q
     at = lambda k: F.least(F.floor(k * F.col("step")).cast("long"), F.col("total"))
     each = queues.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("total") / F.floor("step")) + 1)))
     each = each.select("queue", "j", at(j - 1).alias("lo"), at(j).alias("hi"), F.ceil(j * F.col("step") / F.col("rate") - 1e-6).alias("round")).where("hi > lo")
-    each = each.withColumn("block", F.floor(F.col("round") / ROUNDS))
+    each = saved(each.withColumn("block", F.floor(F.col("round") / ROUNDS)), "services")
     blocks = each.groupBy("block").agg(F.sum(F.col("hi") - F.col("lo")).alias("size"))
     blocks = blocks.select("block", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     before = F.sum(F.col("hi") - F.col("lo")).over(Window.partitionBy("block").orderBy("round", "queue", "j").rowsBetween(Window.unboundedPreceding, -1))
     numbered = each.withColumn("before", F.coalesce(before, F.lit(0))).join(blocks, "block")
-    return queues, numbered.select("queue", "j", "lo", "hi", (F.col("base") + F.col("before")).alias("g0"))
+    # stored, so that its size is known: it grows with the input, and must not be taken for small and broadcast
+    return queues, saved(numbered.select("queue", "j", "lo", "hi", (F.col("base") + F.col("before")).alias("g0")), "numbered")
 
 
 def pack(
