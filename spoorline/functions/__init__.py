@@ -1 +1,10 @@
+"""Column functions: paths, module names, commands, URLs, content types. All are built from Spark's own expressions."""
 
+from .content import content_tier, is_binary_text, security_hits, text_type
+from .paths import base_package, is_core_module, is_third_party, main_candidates, module_root, normal_path, package_root, path_is_under, root_ancestors, root_depth, root_package, safe_entry_name
+from .text import end_position, node_ids, one_line, script_targets, status_of, url_fields
+
+__all__ = [
+    "base_package", "content_tier", "end_position", "is_binary_text", "is_core_module", "is_third_party", "main_candidates", "module_root", "node_ids", "normal_path",
+    "one_line", "package_root", "path_is_under", "root_ancestors", "root_depth", "root_package", "safe_entry_name", "script_targets", "security_hits", "status_of", "text_type", "url_fields",
+]
