@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,21 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spoorline/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete the files of a table made by saved(), once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    folder = f"{shared_dir(spark)}/spoorline/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    if not keep and (used := _scratch.get()) is not None:
+        used.append(folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved within are deleted at the end, but for those with keep. What goes on may read only the latter."""
+    token = _scratch.set(used := [])
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in used:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def row_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, row_key, saved
+from .common import keyed, row_key, saved, scratch
 
 _UPPER = "".join(map(chr, range(65, 91)))
 _SEPARATORS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
@@ -90,8 +90,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
     rk = row_key(docs, text, doc_id)
-    bad = report(docs, benchmark, n, text, doc_id, item_id).where("contaminated").select(F.col("rk").alias("__rk"), F.col("hit").alias("__hit")).dropDuplicates(["__rk"])
-    bad = saved(bad, "contaminated")
+    with scratch(docs.sparkSession):
+        bad = report(docs, benchmark, n, text, doc_id, item_id).where("contaminated").select(F.col("rk").alias("__rk"), F.col("hit").alias("__hit")).dropDuplicates(["__rk"])
+        bad = saved(bad, "contaminated", keep=True)
     if remove == "documents":
         return docs.join(bad, rk == F.col("__rk"), "left_anti")
     pieces = F.regexp_extract_all(F.col(text), F.lit(_PIECE), F.lit(0))

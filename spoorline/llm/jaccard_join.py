@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, over_batches, row_key, saved, texts
+from .common import keyed, over_batches, row_key, saved, scratch, texts
 from .components import components
 from .repeats import _INVERSE, _MULTIPLIER, _TABLE, _upto
 from .suffix_dedup import _longs, _only
@@ -325,8 +325,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
 
     The least is found by a map-side minimum, so that a class of any size is a row a task.
     """
-    found = jaccard_classes(docs, text=text, doc_id=doc_id, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
-    kept = saved(found.groupBy("class_key").agg(first.alias("first")).select(F.col("first.rk").alias("__rk")), "kept")
+    with scratch(docs.sparkSession):
+        found = jaccard_classes(docs, text=text, doc_id=doc_id, **options)
+        kept = saved(found.groupBy("class_key").agg(first.alias("first")).select(F.col("first.rk").alias("__rk")), "kept", keep=True)
     own = docs.withColumn("__rk", row_key(docs, text, doc_id))
     return own.join(kept, "__rk", "left_semi").dropDuplicates(["__rk"]).select(*docs.columns)

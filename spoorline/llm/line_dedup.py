@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, suspected
-from .common import keyed, over_batches, row_key, saved, texts
+from .common import keyed, over_batches, row_key, saved, scratch, texts
 
 
 def line_keys(text: bytes, least: int) -> tuple[list[bytes], list[bytes | None]]:
@@ -107,8 +107,9 @@ def without_repeats(docs: DataFrame, least: int = 20, in_docs: int = 3, text: st
 
     All columns and rows stay, texts that lose all their lines as empty ones.
     """
-    _, drops = line_drops(keyed(docs, text, doc_id), least, in_docs)
-    drops = saved(drops.select(F.col("rk").alias("__rk"), F.col("keys").alias("__keys")), "drops")
+    with scratch(docs.sparkSession):
+        _, drops = line_drops(keyed(docs, text, doc_id), least, in_docs)
+        drops = saved(drops.select(F.col("rk").alias("__rk"), F.col("keys").alias("__keys")), "drops", keep=True)
     at, names = docs.columns.index(text), docs.columns
 
     def make():

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, over_batches, row_key, saved, texts
+from .common import keyed, over_batches, row_key, saved, scratch, texts
 
 SPACES, SYMBOLS, DIGITS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"0123456789"
 #: Common words of the four languages, fixed values.
@@ -126,5 +126,6 @@ def judge(docs: DataFrame, threshold: float = 0.5, text: str = "text", doc_id: s
 
 def keep_good(docs: DataFrame, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that judge() keeps, with all columns."""
-    gone = saved(judge(docs, threshold, text, doc_id).where(~F.col("kept")).select(F.col("rk").alias("__rk")).distinct(), "rejected")
+    with scratch(docs.sparkSession):
+        gone = saved(judge(docs, threshold, text, doc_id).where(~F.col("kept")).select(F.col("rk").alias("__rk")).distinct(), "rejected", keep=True)
     return docs.join(gone, row_key(docs, text, doc_id) == F.col("__rk"), "left_anti")
