@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_scratch: ContextVar[list[str | Broadcast] | None] = ContextVar("scratch", default=None)
+
+
+def broadcast(spark: SparkSession, value) -> Broadcast:
+    """value, of a size that doesn't depend on the input, for all tasks. Within scratch() it is taken back at the end."""
+    out = spark.sparkContext.broadcast(value)
+    if (used := _scratch.get()) is not None:
+        used.append(out)
+    return out
 
 
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -40,7 +49,8 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables saved within are deleted at the end, but for those with keep. What goes on may read only the latter."""
+    """Tables saved within, but for those with keep, are deleted at the end, and broadcasts taken back: Python workers live on
+    and would hold them. What goes on may read only the kept tables."""
     token = _scratch.set(used := [])
     try:
         yield
@@ -48,6 +58,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _scratch.reset(token)
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for folder in used:
+            if isinstance(folder, Broadcast):
+                folder.destroy()
+                continue
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 

@@ -94,9 +94,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
         bad = report(docs, benchmark, n, text, doc_id, item_id).where("contaminated").select(F.col("rk").alias("__rk"), F.col("hit").alias("__hit")).dropDuplicates(["__rk"])
         bad = saved(bad, "contaminated", keep=True)
     if remove == "documents":
-        return docs.join(bad, rk == F.col("__rk"), "left_anti")
-    pieces = F.regexp_extract_all(F.col(text), F.lit(_PIECE), F.lit(0))
-    left = F.filter(pieces, lambda p, i: ~F.array_contains(F.col("__hit"), i + 1))
-    lead = F.regexp_extract(F.col(text), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    cut = F.when(F.col("__hit").isNotNull(), F.concat(lead, F.array_join(left, ""))).otherwise(F.col(text))
-    return docs.join(bad, rk == F.col("__rk"), "left").select(*[cut.alias(c) if c == text else docs[c] for c in docs.columns])
+        return docs.join(bad, rk == bad["__rk"], "left_anti")
+    pieces = F.regexp_extract_all(docs[text], F.lit(_PIECE), F.lit(0))
+    left = F.filter(pieces, lambda p, i: ~F.array_contains(bad["__hit"], i + 1))
+    lead = F.regexp_extract(docs[text], r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    cut = F.when(bad["__hit"].isNotNull(), F.concat(lead, F.array_join(left, ""))).otherwise(docs[text])
+    return docs.join(bad, rk == bad["__rk"], "left").select(*[cut.alias(c) if c == text else docs[c] for c in docs.columns])

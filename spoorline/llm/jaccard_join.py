@@ -11,6 +11,7 @@ compared exactly, in square blocks; only counts and spanning links leave a task,
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -329,5 +330,6 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     with scratch(docs.sparkSession):
         found = jaccard_classes(docs, text=text, doc_id=doc_id, **options)
         kept = saved(found.groupBy("class_key").agg(first.alias("first")).select(F.col("first.rk").alias("__rk")), "kept", keep=True)
-    own = docs.withColumn("__rk", row_key(docs, text, doc_id))
-    return own.join(kept, "__rk", "left_semi").dropDuplicates(["__rk"]).select(*docs.columns)
+    key = f"rk_{uuid.uuid4().hex}"  # no column of docs
+    own = docs.withColumn(key, row_key(docs, text, doc_id))
+    return own.join(kept, own[key] == kept["__rk"], "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, suspected
-from .common import keyed, over_batches, row_key, saved, scratch, texts
+from .common import broadcast, keyed, over_batches, row_key, saved, scratch, texts
 
 
 def line_keys(text: bytes, least: int) -> tuple[list[bytes], list[bytes | None]]:
@@ -40,7 +40,7 @@ def line_drops(docs: DataFrame, least: int = 20, in_docs: int = 3, keep_text: bo
     drops: rk, keys (128-bit hashes of the keys whose lines go).
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(twice_seen(docs, least))
+    bits = broadcast(spark, twice_seen(docs, least))
 
     def make():
         known = bits.value
@@ -119,6 +119,6 @@ def without_repeats(docs: DataFrame, least: int = 20, in_docs: int = 3, text: st
 
         return step
 
-    joined = docs.join(drops, row_key(docs, text, doc_id) == F.col("__rk"), "left").select(*names, "__keys")
+    joined = docs.join(drops, row_key(docs, text, doc_id) == drops["__rk"], "left").select(*[docs[c] for c in names], drops["__keys"])
     out = joined.mapInArrow(over_batches(make), docs.schema)
     return out.withColumn(chars, F.coalesce(F.length(text).cast(docs.schema[chars].dataType), F.col(chars))) if chars in names else out

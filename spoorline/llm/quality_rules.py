@@ -128,4 +128,4 @@ def keep_good(docs: DataFrame, threshold: float = 0.5, text: str = "text", doc_i
     """The rows of docs that judge() keeps, with all columns."""
     with scratch(docs.sparkSession):
         gone = saved(judge(docs, threshold, text, doc_id).where(~F.col("kept")).select(F.col("rk").alias("__rk")).distinct(), "rejected", keep=True)
-    return docs.join(gone, row_key(docs, text, doc_id) == F.col("__rk"), "left_anti")
+    return docs.join(gone, row_key(docs, text, doc_id) == gone["__rk"], "left_anti")

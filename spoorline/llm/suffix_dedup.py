@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, suspected
-from .common import keyed, over_batches, saved, texts
+from .common import broadcast, keyed, over_batches, saved, texts
 from .repeats import runs
 
 #: Windows of a block of pass 3.
@@ -94,7 +94,7 @@ def _rk_hash(b: pa.RecordBatch) -> list[np.ndarray]:
 
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """docs joined with wanted (rk, ...); a filter of fixed size keeps most other texts out of the shuffle."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select("rk"), _rk_hash, "once"))
+    bits = broadcast(docs.sparkSession, bloom(wanted.select("rk"), _rk_hash, "once"))
 
     def make():
         known = bits.value
@@ -203,10 +203,9 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> tuple[DataFrame, DataFra
 
     Of `found`, a row has r (a run, wholly repeated), r and b (a block of it), or s (the start of a single window).
     """
-    sc = docs.sparkSession.sparkContext
     scanned = saved(docs.mapInArrow(_scan(size), "rk binary, dk long, doc_id long, n_bytes long, sha string, grams array<long>, runs array<long>"), "scanned")
     names = scanned.select("rk", "dk")
-    bits = sc.broadcast(bloom(scanned.select("grams"), _grams, "twice"))
+    bits = broadcast(docs.sparkSession, bloom(scanned.select("grams"), _grams, "twice"))
     each = saved(scanned.select("dk", "grams", "runs").mapInArrow(_repeated_runs(bits), "gram long, run long, dk long, r int"), "runs")
     # passes 1 and 2: distinct runs of each gram, with one place of each
     kinds = saved(each.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("dk", "r")).alias("at")), "kinds")

@@ -1,0 +1,323 @@
+"""Each operator against a brute-force version, and on the odd rows of conftest.py."""
+
+import hashlib
+import random
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from spoorline.llm import jaccard_join, language_id, license_scan, quality_classifier, quality_rules
+from spoorline.llm.common import TOKENIZERS
+from spoorline.llm.decontaminate import decontaminate, report
+from spoorline.llm.jaccard_join import jaccard_classes, keep_one, shingles
+from spoorline.llm.line_dedup import dedup_lines, line_keys, without_repeats
+from spoorline.llm.packing import pack, sequences, token_ids
+from spoorline.llm.suffix_dedup import remove_repeats
+from spoorline.llm.token_count import count_tokens, merger
+
+
+def pairs(df):
+    return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+
+
+def rows(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+# 1
+
+
+def test_token_counts_equal_the_library(spark, odd, docs, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    for df in (odd, docs):
+        want = sorted(((d, len(x.encode()), n, n > 4096) for d, x in pairs(df) for n in [len(sp.encode(x))]), key=repr)
+        assert rows(count_tokens(df), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert count_tokens(empty).count() == 0
+
+
+def test_merging_of_odd_strings():
+    import sentencepiece
+
+    m, sp = merger(f"{TOKENIZERS}/piece_bpe_32k.model"), sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    r, parts = random.Random(3), [*"  \n\t▁abcthe入é\0ñ😀<s>0x", "the", "ing", " a", " ▁"]
+    for _ in range(3000):
+        x = "".join(r.choice(parts) for _ in range(r.randrange(40)))
+        assert m.count(x) == len(sp.encode(x)), repr(x)
+
+
+# 2
+
+
+def without_windows(data, size):
+    seen = Counter(x[s : s + size] for _, x in data for s in range(len(x) - size + 1))
+    out = []
+    for d, x in data:
+        gone = np.zeros(len(x), bool)
+        for s in range(len(x) - size + 1):
+            if seen[x[s : s + size]] > 1:
+                gone[s : s + size] = True
+        left = bytes(np.frombuffer(x, np.uint8)[~gone])
+        out.append((d, len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest()))
+    return sorted(out, key=repr)
+
+
+COLS2 = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_suffix_dedup_equals_all_windows(spark, odd, docs, empty):
+    assert rows(remove_repeats(docs), *COLS2) == without_windows([(d, x.encode()) for d, x in pairs(docs)], 400)
+    assert rows(remove_repeats(odd), *COLS2) == without_windows([(d, x.encode()) for d, x in pairs(odd)], 400)
+    assert remove_repeats(empty).count() == 0
+
+
+def test_suffix_dedup_of_shared_passages(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = [word(n) for n in (399, 400, 401, 700, 2500)]
+    data = [(i, word(r.randrange(300)) + r.choice(shared) + word(r.randrange(600)) + (r.choice(shared)[: r.randrange(900)])) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
+    assert rows(remove_repeats(df), *COLS2) == without_windows([(d, x.encode()) for d, x in data], 400)
+    kept = {x.doc_id: x for x in remove_repeats(df, with_text=True).collect()}
+    assert all(hashlib.sha256(x.kept).hexdigest() == x.kept_sha256 for x in kept.values()) and len(kept) == 60
+
+
+# 3
+
+
+@pytest.mark.parametrize("targets", [None, {"src1": 3.0, "src2": 0.1}])
+def test_packing_holds_each_id_once(spark, odd, docs, empty, targets):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    for df in (docs, odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
+        ids = {d: [*t.encode(x, add_special_tokens=False).ids, 0] for d, x in pairs(df)}
+        out = pack(df, targets, with_ids=True)
+        got = defaultdict(list)
+        used = defaultdict(list)
+        for p in out.collect():
+            got[p.doc_id].append(p)
+            used[p.sequence_id].append((p.offset, p.length))
+        assert got.keys() == ids.keys()
+        for d, ps in got.items():
+            at = 0
+            for p in sorted(ps, key=lambda p: p.start):
+                own = ids[d][p.start : p.start + p.length]
+                assert p.start == at and p.ids == own and p.doc_tokens == len(ids[d]) and p.ids_crc32 == zlib.crc32(struct.pack(f"<{len(own)}I", *own))
+                at += p.length
+            assert at == len(ids[d])
+        full = 0
+        for ps in used.values():
+            at = 0
+            for offset, length in sorted(ps):
+                assert offset == at
+                at += length
+            full += at == 1024
+        assert full >= len(used) - 1 and sorted(used) == list(range(len(used)))
+        assert sequences(out).where("size(ids) <> 1024").count() == 0
+    assert pack(empty).count() == 0 and pack(odd).count() >= odd.count()
+
+
+def test_packing_keeps_proportions(spark, docs):
+    window = 16 * 1024
+    out = pack(docs, window=window).toPandas()
+    share = out.groupby("queue").length.sum() / out.length.sum()
+    by = out.groupby([out.sequence_id // 16, "queue"]).length.sum().unstack(fill_value=0)
+    assert (by.cumsum().sub(np.outer(by.sum(axis=1).cumsum(), share)).abs().to_numpy().max()) <= 3 * 1024
+
+
+def test_fast_and_slow_ids_are_equal():
+    ranks, model = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/byte_bpe_50k.json"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(model)
+    t.encode_special_tokens = True
+    r, parts = random.Random(4), [*"  \n\t'abcthe入é\0ñ😀<s>0x19.,  ", "<|endoftext|>", "'ll", "the"]
+    for x in [" " * 300_000, "a" * 30_000, *("".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(2000))]:
+        assert token_ids(x, ranks, model).tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+# 4
+
+
+def test_line_dedup_equals_counting(spark, odd, docs, empty):
+    for df in (odd.where("doc_id IS NOT NULL"), docs):
+        data = pairs(df)
+        holders = defaultdict(set)
+        for d, x in data:
+            for k in line_keys(x.encode(), 20)[1]:
+                holders[k].add(d)
+        want = []
+        for d, x in data:
+            lines, keys = line_keys(x.encode(), 20)
+            left = [y for y, k in zip(lines, keys, strict=True) if k is None or len(holders[k]) < 3 or max(holders[k]) == d]
+            want.append((d, len(lines), len(lines) - len(left), hashlib.sha256(b"\n".join(left)).hexdigest()))
+        assert rows(dedup_lines(df), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(want, key=repr)
+    assert dedup_lines(odd).count() == odd.count() and dedup_lines(empty).count() == 0
+    cut = without_repeats(odd)
+    assert cut.columns == odd.columns and {r.text for r in cut.where("doc_id IN (8, 9)").collect()} == {"own 8", "own 9"}
+
+
+# 5
+
+
+def test_language_of_held_out_documents_and_pages(spark, odd, empty):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    model = language_id.train(d.where("doc_id % 4 <> 0"))
+    held = d.where("doc_id % 4 = 0 AND length(text) >= 200").select("lang", "text").collect()
+    right = [model.langs[int(model.likelihood(r.text).argmax())] == r.lang for r in held]
+    assert len(right) > 100 and sum(right) / len(right) > 0.97
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    out = language_id.identify(pages, model).collect()
+    assert len(out) == pages.count() and sum(r.lang == r.declared for r in out) >= 0.97 * len(out)
+    some = spark.createDataFrame([(None, None, None), (1, "http://a.example.de/", None), (1, "http://a.example.de/", None), (2, ":::", "<html lang=de>"), (3, "https://[bad", "x")], "page_id long, url string, html string")
+    got = language_id.identify(some.selectExpr("*", "1 AS like", "2 AS host"), model).collect()
+    assert len(got) == 5 and all(0 < r.p_lang <= 1 for r in got) and next(r for r in got if r.page_id == 2).lang == "de"
+    assert language_id.identify(some.where("false"), model).count() == 0
+    assert language_id.identify(some, language_id.train(empty)).count() == 5
+
+
+# 6
+
+
+def slow_features(x):
+    import re
+
+    space = "\x20\x09-\x0d"
+    words = re.findall(f"[^{space}]+", x)
+    three = Counter(zip(words, words[1:], words[2:], strict=False))
+    hit = set()
+    for i in range(len(words) - 2):
+        if three[tuple(words[i : i + 3])] > 1:
+            hit |= {i, i + 1, i + 2}
+    lines = x.split("\n")
+    dup = sum(bool(re.search(f"[^{space}]", y)) and y in lines[:i] for i, y in enumerate(lines))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", x)), dup, len(hit)
+
+
+def test_quality_features_and_votes(spark, odd, docs, empty):
+    for df in (docs, odd):
+        out = quality_rules.judge(df)
+        want = sorted(((d, *f, f[0] < 50 or 100 * f[4] > 50 * f[0]) for d, x in pairs(df) for f in [slow_features(x)]), key=repr)
+        assert rows(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
+        assert out.where("base_failed AND kept").count() == 0
+    assert quality_rules.judge(empty).count() == 0
+    assert quality_rules.keep_good(odd).columns == odd.columns
+
+
+def test_posteriors_tell_good_from_bad(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    out = quality_rules.judge(d).join(d.select("doc_id", "quality"), "doc_id").where("NOT base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.99 and n[0, False] > 2 * n[0, True]
+
+
+def test_estimation_recovers_accuracies():
+    r = np.random.default_rng(1)
+    good = r.random(20000) < 0.8
+    acc = np.array([0.95, 0.9, 0.8, 0.85, 0.9])
+    right = r.random((20000, 5)) < acc
+    votes = np.where(right, np.where(good, 1, -1)[:, None], np.where(good, -1, 1)[:, None]) * (r.random((20000, 5)) < 0.8)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    odds, weights = quality_rules.estimate(patterns, counts.astype(float))
+    score = odds + np.take_along_axis(weights[None].repeat(20000, 0), votes[:, :, None] + 1, 2)[:, :, 0].sum(axis=1)
+    assert ((score > 0) == good).mean() > 0.96 and abs(1 / (1 + np.exp(-odds)) - 0.8) < 0.05
+
+
+# 7
+
+
+def test_co_training_on_held_out_labels(spark, odd, empty):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality_classifier.train(d, labels.where("doc_id % 3 <> 0"))
+    out = quality_classifier.score(d, model).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    assert len(out) > 80 and sum(r.kept == (r.quality == 1) for r in out) / len(out) > 0.93
+    got = quality_classifier.score(odd, model)
+    assert got.count() == odd.count() and got.where("p_quality IS NULL OR isnan(p_quality)").count() == 0
+    assert quality_classifier.score(empty, model).count() == 0
+    bare = quality_classifier.train(odd, labels.where("false"))
+    assert {r.p_quality for r in quality_classifier.score(odd, bare).collect()} == {0.5}
+
+
+# 8
+
+
+def linked(data, threshold=0.8):
+    sets = {d: set(shingles(x.encode()).tolist()) for d, x in data}
+    links = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
+    root = {d: d for d in sets}
+    blank = [d for d in sets if not sets[d]]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in [*links, *zip(blank, blank[1:], strict=False)]:
+            low = min(root[a], root[b])
+            if root[a] != low or root[b] != low:
+                root[a] = root[b] = low
+                changed = True
+    n = Counter(x for p in links for x in p)
+    return sorted(((d, root[d], n[d] if sets[d] else len(blank) - 1) for d in sets), key=repr)
+
+
+def near_copies(n):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    base = [r.choice(words) for _ in range(220)]
+    out = [(i, " ".join(r.choice(words) if r.random() < 0.012 else w for w in base)) for i in range(n)]
+    out += [(n + i, " ".join(base[:40] + [r.choice(words) for _ in range(150)])) for i in range(n)]
+    return [*out, (3 * n, " ".join(base)), (3 * n + 1, " ".join(base)), (3 * n + 2, ""), (3 * n + 3, None), (3 * n + 4, "a b"), (3 * n + 5, "A  b")]
+
+
+@pytest.mark.parametrize("leaf,block,exact", [(64, 2048, 512), (4, 8, 8)])
+def test_join_finds_all_links(spark, docs, monkeypatch, leaf, block, exact):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "EXACT_BLOCK", exact)
+    df = spark.createDataFrame(near_copies(40), "doc_id long, text string")
+    assert rows(jaccard_classes(df), "doc_id", "class_id", "n_links") == linked(pairs(df))
+    if leaf == 64:
+        assert rows(jaccard_classes(docs), "doc_id", "class_id", "n_links") == linked(pairs(docs))
+
+
+def test_join_of_odd_rows(spark, odd, empty):
+    out = {r.doc_id: r for r in jaccard_classes(odd).collect()}
+    assert jaccard_classes(odd).count() == odd.count() and out[2].class_id == 1 and out[2].n_links == 2 and out[3].class_id == out[5].class_id == 3 and out[None].class_id is None
+    one = keep_one(odd)
+    assert one.columns == odd.columns and sorted(r.doc_id or 0 for r in one.collect()) == [0, 1, 3, 6, 7, 8, 9, 10, 11]
+    assert jaccard_classes(empty).count() == 0
+
+
+# 9
+
+
+def test_licences(spark, odd, empty):
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n http://www.apache.org/licenses/LICENSE-2.0\n"
+    assert license_scan.matches(["bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "mit-short", "bsd-grant"]) == ["BSD-3-Clause", "MIT"]
+    assert license_scan.matches(["bsd-source", "bsd-grant"]) == [] and license_scan.matches(["mit-grant", "isc-grant", "mit-notice"]) == ["X11-like", "0BSD-like"]
+    assert [k for _, k in license_scan.sentence_ids("Text.\nReleased under the  MIT License.\nMore. Licensed under CC BY-NC 4.0.")] == ["mit-short", "cc-by-nc-4"]
+    assert [k for _, k in license_scan.sentence_ids(apache)][:1] != [] or license_scan.sentence_ids(apache) == []
+    out = {r.doc_id: r for r in license_scan.scan_licenses(odd).collect()}
+    assert out[11].licenses == ["Apache-2.0"] and out[3].licenses == [] and license_scan.scan_licenses(odd).count() == odd.count()
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+# 10
+
+
+def test_decontamination_of_odd_rows(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "the CAT, of the house and the dog is in it"), (1, "own"), (2, None), (3, "..."), (10, "qui n'a pas"), (None, "zzz"), (4, "own")], "item_id long, text string")
+    out = {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in report(odd, bench).collect()}
+    every = "1,4"
+    assert (8, 1, 2, True) in out and (3, 0, 0, False) in out and (4, 0, 0, False) in out and (None, 4, 1, True) in out and any(d == 1 and n == 132 for d, n, _, _ in out)
+    assert {r.items_sha256 for r in report(odd, bench).where("doc_id = 9").collect()} == {hashlib.sha256(every.encode()).hexdigest()}
+    left = decontaminate(odd, bench)
+    assert left.columns == odd.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 7, 11]
+    cut = {r.doc_id: r.text for r in decontaminate(odd, bench, remove="spans").collect()}
+    assert cut[8] == "one line that is shared by three documents here\n8" and cut[3] is None and len(cut[6]) > 1000
+    assert report(empty, bench).count() == 0 and report(odd, bench.where("false")).where("contaminated").count() == 0
