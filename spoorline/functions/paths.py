@@ -73,7 +73,7 @@ def is_third_party(name: Column) -> Column:
 def main_candidates(main: Column) -> Column:
     """Files that a manifest's main may mean: itself if it is a script, none for other extensions, else with .js and /index.js."""
     p = F.regexp_replace(main, r"^\./", "")
-    return F.when(p.rlike(r"\.(js|cjs|mjs)$"), F.array(p)).when(p.rlike(r"\.[A-Za-z0-9]+$"), F.array().cast("array<string>")).otherwise(F.array(F.concat(p, F.lit(".js")), F.concat(F.regexp_replace(p, "/$", ""), F.lit("/index.js"))))
+    return F.when(p.isNull(), F.lit(None)).when(p.rlike(r"\.(js|cjs|mjs)$"), F.array(p)).when(p.rlike(r"\.[A-Za-z0-9]+$"), F.array().cast("array<string>")).otherwise(F.array(F.concat(p, F.lit(".js")), F.concat(F.regexp_replace(p, "/$", ""), F.lit("/index.js"))))
 
 
 def safe_entry_name(entry: Column) -> Column:
