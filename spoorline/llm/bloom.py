@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import released
+
 SEGMENTS, SEGMENT_BITS, PROBES = 512, 1 << 18, 3
 
 
@@ -78,7 +80,7 @@ def _merged(batches):
 
 def bloom(df: DataFrame, hashes: Callable[[pa.RecordBatch], list[np.ndarray]], which: str) -> np.ndarray:
     """The filter of the hashes seen once or more ("once") or twice or more ("twice") in df's batches, SEGMENTS x SEGMENT_BITS / 8 bytes."""
-    parts = df.mapInArrow(_task_filters(hashes), "segment int, once binary, twice binary")
+    parts = df.mapInArrow(released(_task_filters(hashes)), "segment int, once binary, twice binary")
     whole = parts.repartition(64, "segment").sortWithinPartitions("segment").mapInArrow(_merged, "segment int, once binary, twice binary")
     bits = np.zeros((SEGMENTS, SEGMENT_BITS // 8), np.uint8)
     for r in whole.select("segment", which).collect():  # at most SEGMENTS rows of 32 KB

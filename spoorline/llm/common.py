@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 import pyarrow as pa
@@ -76,6 +78,21 @@ def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return docs.select(row_key(docs, text, doc_id).alias("rk"), docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, with what it has freed given back to the system at its end: Python workers live on between stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def over_batches(make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]):
     """A function for mapInArrow: make() runs once a task and gives what turns one batch into others."""
 
@@ -85,7 +102,7 @@ def over_batches(make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.Recor
             if b.num_rows:
                 yield from step(b)
 
-    return run
+    return released(run)
 
 
 def texts(b: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, over_batches, row_key, saved, scratch, texts
+from .common import keyed, over_batches, released, row_key, saved, scratch, texts
 from .components import components
 from .repeats import _INVERSE, _MULTIPLIER, _TABLE, _upto
 from .suffix_dedup import _longs, _only
@@ -274,7 +274,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
     rows = keyed(docs, text, doc_id)
-    scanned = saved(rows.mapInArrow(_scan(k, threshold, runs_for(recall, depth)), "rk binary, dk long, doc_id long, set_key binary, size int, sketch binary, nodes array<long>"), "scanned")
+    scanned = saved(rows.mapInArrow(released(_scan(k, threshold, runs_for(recall, depth))), "rk binary, dk long, doc_id long, set_key binary, size int, sketch binary, nodes array<long>"), "scanned")
     classes = saved(scanned.groupBy("set_key").agg(F.min("dk").alias("dk"), F.count("*").alias("copies"), F.min("doc_id").alias("set_id")), "classes")
     sets = saved(scanned.join(classes.select("dk", "copies"), "dk").where("size > 0").select("dk", "rk", "size", "sketch", "copies", "nodes"), "sets")
     plain = sets.select("dk", "rk", "size", "sketch")
@@ -294,13 +294,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     for s in small[1:]:
         buckets = buckets.unionByName(s)
     squares = _squares(buckets.select(F.col("node").alias("group"), "dk"), BLOCK)
-    compared = _dealt(squares.join(plain.select("dk", "size", "sketch"), "dk").select("g", "dk", "size", "sketch", "side"), parts).mapInArrow(_candidates(threshold), "a long, b long")
+    compared = _dealt(squares.join(plain.select("dk", "size", "sketch"), "dk").select("g", "dk", "size", "sketch", "side"), parts).mapInArrow(released(_candidates(threshold)), "a long, b long")
     groups = components(saved(compared.distinct(), "candidates"))
 
     # all pairs of a group, exactly
     want = groups.select(F.col("v").alias("dk"), F.col("root").alias("group")).join(sets.select("dk", "rk", "copies"), "dk").groupBy("rk").agg(F.collect_list(F.struct("dk", "group", "copies")).alias("want"))
     tokens = saved(_only(rows, saved(want, "want")).dropDuplicates(["rk"]).select("text", "want").mapInArrow(_with_tokens(k), "dk long, group long, copies long, tokens binary"), "sets")
-    pairs = _dealt(_squares(tokens, EXACT_BLOCK).select("g", "dk", "copies", "side", "tokens"), parts).mapInArrow(_exact(threshold), "dk long, links long, docs long, root long")
+    pairs = _dealt(_squares(tokens, EXACT_BLOCK).select("g", "dk", "copies", "side", "tokens"), parts).mapInArrow(released(_exact(threshold)), "dk long, links long, docs long, root long")
     pairs = saved(pairs, "links")
     links = pairs.groupBy("dk").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     roots = components(pairs.select(F.col("root").alias("a"), F.col("dk").alias("b"))).select(F.col("v").alias("dk"), "root")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, saved
+from .common import TOKENIZERS, released, saved
 
 #: The regular expression of the byte-level vocabularies, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -76,7 +76,7 @@ def tokenized(docs: DataFrame, ranks: str, model: str, end_id: int, text: str, d
                 yield pa.record_batch([pa.array(part_, pa.int32()), pa.array(seq_, pa.int64()), b.column("doc_id"), b.column("queue"), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["part", "seq", "doc_id", "queue", "before", "n", "ids"])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("queue"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return narrow.mapInArrow(run, "part int, seq long, doc_id long, queue string, before long, n long, ids binary")
+    return narrow.mapInArrow(released(run), "part int, seq long, doc_id long, queue string, before long, n long, ids binary")
 
 
 def services(totals: DataFrame, targets: dict[str, float] | None, window: int, quantum: int) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +157,7 @@ def pack(
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     joined = tok.join(pieces, ["part", "seq"]).select("doc_id", "queue", "n", "ids", "pieces")
-    out = joined.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string, ids array<long>")
+    out = joined.mapInArrow(released(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string, ids array<long>")
     return out if with_ids else out.drop("ids")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, suspected
-from .common import broadcast, keyed, over_batches, saved, texts
+from .common import broadcast, keyed, over_batches, released, saved, texts
 from .repeats import runs
 
 #: Windows of a block of pass 3.
@@ -203,7 +203,7 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> tuple[DataFrame, DataFra
 
     Of `found`, a row has r (a run, wholly repeated), r and b (a block of it), or s (the start of a single window).
     """
-    scanned = saved(docs.mapInArrow(_scan(size), "rk binary, dk long, doc_id long, n_bytes long, sha string, grams array<long>, runs array<long>"), "scanned")
+    scanned = saved(docs.mapInArrow(released(_scan(size)), "rk binary, dk long, doc_id long, n_bytes long, sha string, grams array<long>, runs array<long>"), "scanned")
     names = scanned.select("rk", "dk")
     bits = broadcast(docs.sparkSession, bloom(scanned.select("grams"), _grams, "twice"))
     each = saved(scanned.select("dk", "grams", "runs").mapInArrow(_repeated_runs(bits), "gram long, run long, dk long, r int"), "runs")
