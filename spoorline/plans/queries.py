@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
@@ -76,14 +76,13 @@ def q_range_contains(spark, sf):
 @query
 def q_exact_span(spark, sf):
     ev = V.events(spark, sf).withColumn("line", F.when(F.col("event_id") % 10 != 0, F.col("line")))
-    left = ev.where("event_id % 3 = 0").select("event_id", "file", "line")
-    return joins.first_match(left, ev.where("event_id % 3 = 1").select("file", "line", "idx"), ["file", "line"], "idx")
+    return joins.first_match(ev.select("event_id", "file", "line"), ev.where("event_type IN ('click', 'view')").select("file", "line", "idx"), ["file", "line"], "idx")
 
 
 @query
 def q_exact_else_contain(spark, sf):
     ev = V.events(spark, sf)
-    refs = ev.where("event_id % 2 = 0").select("event_id", "pkg", "file", (F.floor(F.col("line") / 10) * 10 + F.when(F.col("event_id") % 4 == 0, 0).otherwise(1)).alias("s"), (F.floor(F.col("line") / 10) * 10 + 9).alias("e"))
+    refs = ev.select("event_id", "pkg", "file", (F.floor(F.col("line") / 10) * 10 + F.when(F.col("event_id") % 4 == 0, 0).otherwise(1)).alias("s"), (F.floor(F.col("line") / 10) * 10 + 9).alias("e"))
     return joins.exact_else_containing(refs, V.functions(ev), "event_id", ["pkg", "file"], "sl", "el", "fid", "s", "e")
 
 
@@ -105,14 +104,14 @@ def q_module_root(spark, sf):
 def q_prefix_candidates(spark, sf):
     ev = V.events(spark, sf)
     _, roots, _ = V.chains(ev)
-    return joins.under_roots(ev.where("event_id % 3 = 0"), roots, ["pkg"], X.root_ancestors(F.col("file")), "root", "chain", X.root_depth(F.col("root")), "idx")
+    return joins.under_roots(ev, roots, ["pkg"], X.root_ancestors(F.col("file")), "root", "chain", X.root_depth(F.col("root")), "idx")
 
 
 @query
 def q_scoped_asof(spark, sf):
     o = V.table(spark, sf, "orders")
-    refs = o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("ref"), "o_custkey", F.col("o_orderdate").alias("at"))
-    bind = o.where("o_orderkey % 4 <> 0").select("o_custkey", F.col("o_orderdate").alias("since"), F.col("o_orderkey").alias("seq"))
+    refs = o.select(F.col("o_orderkey").alias("ref"), "o_custkey", F.col("o_orderdate").alias("at"))
+    bind = o.select("o_custkey", F.col("o_orderdate").alias("since"), F.col("o_orderkey").alias("seq"))
     return joins.scoped_asof(refs, bind, ["o_custkey"], "ref", "at", "since", ["seq"]).select("ref", "seq")
 
 
@@ -131,47 +130,46 @@ def q_registrations(spark, sf):
 @query
 def q_claim_window(spark, sf):
     ev, _, _, _, reg = _registered(spark, sf)
-    return joins.claim_window(ev.where("event_id % 5 = 0").select("pkg", "idx"), reg.where("reg IS NOT NULL").select("pkg", "chain", "reg"), ["pkg"], "idx", "reg").select("pkg", "idx", "chain", "reg")
+    return joins.claim_window(ev.select("pkg", "idx"), reg.where("reg IS NOT NULL").select("pkg", "chain", "reg"), ["pkg"], "idx", "reg").select("pkg", "idx", "chain", "reg")
 
 
 @query
 def q_nearest_anchor(spark, sf):
     ev, _, _, anchors, _ = _registered(spark, sf)
-    cand = ev.where("event_id % 5 = 0").select("pkg", "idx").join(anchors.select("pkg", "chain").distinct(), "pkg")
+    cand = ev.select("pkg", "idx").join(anchors.select("pkg", "chain").distinct(), "pkg")
     return joins.nearest(cand, anchors.withColumnRenamed("idx", "anchor"), ["pkg"], "chain", "idx", "anchor").select("pkg", "idx", "chain", F.col("distance").cast("long").alias("distance"), F.col("later").cast("long").alias("later"), "winners")
 
 
 @query
 def q_orphans_anti(spark, sf):
     ev = V.events(spark, sf).withColumn("line", F.when(F.col("event_id") % 10 != 0, F.col("line")))
-    return joins.orphans(ev.select("event_id", "file", "line"), ev.where("event_id % 7 = 0").select("file", "line"), ["file", "line"])
+    return joins.orphans(ev.select("event_id", "file", "line"), ev.where("event_type = 'purchase'").select("file", "line"), ["file", "line"])
 
 
 @query
 def q_gap_islands(spark, sf):
     ev = V.events(spark, sf)
     bounds = ev.groupBy("pkg").agg((F.max("idx") + 1).alias("n"))
-    return intervals.missing_runs(ev.where("event_id % 3 = 0").select("pkg", "idx"), ["pkg"], "idx", bounds)
+    return intervals.missing_runs(ev.where("event_type IN ('click', 'view')").select("pkg", "idx"), ["pkg"], "idx", bounds)
 
 
 @query
 def q_adjacency_islands(spark, sf):
     ev, _, _, anchors, _ = _registered(spark, sf)
     a = anchors.select("pkg", F.col("chain").alias("chain_ord"), F.col("idx").alias("anchor"))
-    return intervals.adjacency(ev.where("event_id % 13 = 0 AND event_id % 11 <> 0").select("pkg", "idx"), a, ["pkg"], "idx", "chain_ord", "anchor", 5)
+    return intervals.adjacency(ev.where("event_type = 'error'").select("pkg", "idx"), a, ["pkg"], "idx", "chain_ord", "anchor", 5)
 
 
 @query
 def q_attribution(spark, sf):
     ev = V.events(spark, sf)
     c, roots, anchors = V.chains(ev)
-    return attribution.attribute(ev.select("pkg", "idx", "file"), ev.where("event_id % 2 = 1").select("pkg", "idx"), c, roots, anchors, ["pkg"], 5)
+    return attribution.attribute(ev.select("pkg", "idx", "file"), ev.where("event_type IN ('click', 'view')").select("pkg", "idx"), c, roots, anchors, ["pkg"], 5)
 
 
 @query
 def q_fingerprint_groups(spark, sf):
-    ev = V.events(spark, sf).where("event_id % 17 = 0")
-    f = attribution.fingerprints(ev, ["pkg", "user_id"], ["qn"])
+    f = attribution.fingerprints(V.events(spark, sf), ["pkg", "user_id", "line"], ["qn"])
     return f.groupBy("fingerprint").agg(F.count("*").alias("chains"), F.max("n").alias("length"), F.min("user_id").alias("first_user"))
 
 
@@ -189,7 +187,7 @@ def q_reach_backward_barrier(spark, sf):
 
 
 def _sliced(spark, sf):
-    a = V.arcs(spark, sf, 97)
+    a = V.arcs(spark, sf)
     flagged = a.where("src % 3 = 1").select("g", F.col("src").alias("v")).distinct()
     return a, flagged, graph.slice_components(a, flagged, ["g"])
 
@@ -218,21 +216,21 @@ def q_nearest_flagged(spark, sf):
 
 @query
 def q_common_ancestor(spark, sf):
-    a = V.arcs(spark, sf, 97)
-    v = a.select("g", F.col("dst").alias("v")).distinct().where("v % 4 = 0")
-    pairs = v.select("g", F.col("v").alias("a")).join(v.select("g", F.col("v").alias("b")), "g").where("a < b AND a % 3 = b % 3")
+    a = V.arcs(spark, sf)
+    v = a.select("g", F.col("dst").alias("a")).distinct()
+    pairs = v.withColumn("b", F.lead("a").over(Window.partitionBy("g").orderBy("a"))).where("b IS NOT NULL")
     return graph.common_ancestors(pairs, a, ["g"])
 
 
 @query
 def q_dep_closure(spark, sf):
-    a = V.arcs(spark, sf, 97)
+    a = V.arcs(spark, sf)
     return graph.closure(a.select("g", F.col("src").alias("parent"), F.col("dst").alias("child")).distinct(), ["g"])
 
 
 @query
 def q_edge_type(spark, sf):
-    e = V.table(spark, sf, "events").where("event_id % 3 = 0")
+    e = V.table(spark, sf, "events")
     label = F.when(F.col("event_type") == "click", "DDG: x").when(F.col("event_type") == "view", "CFG").when(F.col("event_type") == "error", "REMOVE: x").otherwise("CDG: x")
     edges = e.select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst"), F.array(label).alias("labels"))
     return graph.arcs_of(edges.withColumn("g", F.lit(0)), ["g"]).drop("g")
@@ -284,11 +282,11 @@ def q_latest_step(spark, sf):
 
 @query
 def q_sanitize_report(spark, sf):
-    ev = V.events(spark, sf).where("event_id % 29 = 0")
-    reports = ev.groupBy("pkg").agg(F.sort_array(F.collect_set("line")).alias("ids"), F.when(F.min("event_id") % 2 == 0, "undetermined").otherwise("malicious").alias("judgement"))
+    ev = V.events(spark, sf)
+    reports = ev.groupBy("pkg", "user_id").agg(F.sort_array(F.collect_set("line")).alias("ids"), F.when(F.min("event_id") % 2 == 0, "undetermined").otherwise("malicious").alias("judgement"))
     kind = F.when(F.col("event_type").isin("click", "view", "signup"), "sensitive_api").when(F.col("event_type") == "error", "sensitive_property").otherwise("third_party")
-    evidence = ev.select("pkg", F.col("line").alias("id"), kind.alias("kind"))
-    return verdict.sanitized(reports, evidence, ["pkg"]).select("pkg", "judgement", F.array_join("ids", ",").alias("ids"))
+    evidence = ev.select("pkg", "user_id", F.col("line").alias("id"), kind.alias("kind"))
+    return verdict.sanitized(reports, evidence, ["pkg", "user_id"]).select("pkg", "user_id", "judgement", F.array_join("ids", ",").alias("ids"))
 
 
 @query
@@ -329,7 +327,7 @@ def q_node_scripts(spark, sf):
 
 @query
 def q_node_id_index(spark, sf):
-    ev = V.events(spark, sf).where("event_id % 5 = 0")
+    ev = V.events(spark, sf)
     snippets = ev.select("pkg", F.col("idx").alias("component"), F.concat(F.lit("x() // [Node ID: "), "line", F.lit("] y [Node ID: "), F.col("user_id"), F.lit("]")).alias("snippet"))
     ids = snippets.select("pkg", "component", F.explode(X.node_ids(F.col("snippet"))).alias("node"))
     return ids.groupBy("pkg", "node").agg(F.max("component").alias("component"))
@@ -339,8 +337,8 @@ def q_node_id_index(spark, sf):
 def q_enrichment_levels(spark, sf):
     p = V.table(spark, sf, "part").select("p_partkey", "p_brand", (F.col("p_partkey") % 3 == 0).alias("trusted"))
     li = V.table(spark, sf, "lineitem")
-    module = li.where("l_suppkey % 10 = 1").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("module", F.lit(True))
-    api = li.where("l_suppkey % 10 = 2").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("api", F.lit(True))
+    module = li.where("l_quantity <= 1").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("module", F.lit(True))
+    api = li.where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("api", F.lit(True))
     return slicing.enrichment(p.join(module, "p_partkey", "left").join(api, "p_partkey", "left"), "trusted", "module", "api").groupBy("p_brand", "level").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
@@ -358,14 +356,14 @@ def q_trust_rules(spark, sf):
 
 @query
 def q_interval_nesting(spark, sf):
-    li = V.table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    li = V.table(spark, sf, "lineitem")
     r = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_quantity").cast("long")).alias("lo"), F.max((F.col("l_quantity") + F.floor(F.col("l_extendedprice") / 2000)).cast("long")).alias("hi"))
     return intervals.parents(r, ["l_orderkey"], "l_linenumber", "lo", "hi")
 
 
 @query
 def q_positional_params(spark, sf):
-    li = V.table(spark, sf, "lineitem").where("l_orderkey % 7 = 0")
+    li = V.table(spark, sf, "lineitem")
     args = li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("value"))
     params = li.select("l_orderkey", "l_linenumber", F.concat(F.lit("p"), "l_suppkey").alias("name"))
     return slicing.positional(args, params, ["l_orderkey"], "l_linenumber")
@@ -373,10 +371,10 @@ def q_positional_params(spark, sf):
 
 @query
 def q_listing_semi(spark, sf):
-    ev = V.events(spark, sf)
-    listed = ev.where("event_id % 2 = 0").select("file").distinct()
-    only = ev.where("event_id % 2 = 1").select("file").distinct().join(listed, "file", "left_anti").select("file", F.lit("dynamic_only").alias("kind"))
-    both = ev.where("event_id % 5 = 1").select("file").distinct().join(listed, "file", "left_semi").select("file", F.lit("listed").alias("kind"))
+    ev = V.events(spark, sf).withColumn("file", F.concat("file", F.lit("#"), "line"))
+    listed = ev.where("event_type IN ('click', 'view')").select("file").distinct()
+    only = ev.where("event_type NOT IN ('click', 'view')").select("file").distinct().join(listed, "file", "left_anti").select("file", F.lit("dynamic_only").alias("kind"))
+    both = ev.where("event_type = 'purchase'").select("file").distinct().join(listed, "file", "left_semi").select("file", F.lit("listed").alias("kind"))
     return only.unionByName(both)
 
 
@@ -391,7 +389,7 @@ def q_entry_union(spark, sf):
 
 @query
 def q_annotation_text(spark, sf):
-    e = lookup(V.events(spark, sf).where("event_id % 3 = 0"), V.catalog(spark), "qn")
+    e = lookup(V.events(spark, sf), V.catalog(spark), "qn")
     return e.select("event_id", slicing.annotation(F.col("event_id"), F.col("qn"), F.col("behavior"), F.col("event_type") == "purchase", F.col("event_type") == "error").alias("text"))
 
 
@@ -411,7 +409,7 @@ def q_base_package(spark, sf):
 
 @query
 def q_model_stub(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("prompt"))
+    d = V.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     out = model.judged(d, "prompt", model.stub)
     return out.select("doc_id", F.get_json_object("answer", "$.judgement").alias("judgement"), F.get_json_object("answer", "$.words").cast("long").alias("words"))
 
@@ -419,7 +417,7 @@ def q_model_stub(spark, sf):
 @query
 def q_missing_graph(spark, sf):
     """Flagged vertices joined by what a walk meets next, over data arcs and over control flow."""
-    a = V.arcs(spark, sf, 97)
+    a = V.arcs(spark, sf)
     flagged = a.where("src % 3 = 1").select("g", F.col("src").alias("v")).distinct()
     data = graph.nearest_flagged(flagged, a.where(F.col("label").isin(*graph.DATA)), flagged, ["g"]).select("g", "origin", "v", F.lit("Data_Flow").alias("kind"))
     control = graph.nearest_flagged(flagged, a.where("label = 'CFG'"), flagged, ["g"]).select("g", "origin", "v", F.lit("Control_Flow").alias("kind"))

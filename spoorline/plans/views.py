@@ -44,17 +44,18 @@ def functions(ev: DataFrame) -> DataFrame:
     return ten.unionByName(fifty).withColumn("fid", F.concat("file", F.lit(":"), "sl", F.lit(":"), "el"))
 
 
-def arcs(spark: SparkSession, sf_dir: str, every: int = 29) -> DataFrame:
-    """by (the event's user class), src, dst, label: arcs between users and lines."""
-    e = table(spark, sf_dir, "events").where(F.col("event_id") % every == 0)
+def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g (the event's quarter of a day), src, dst, label: arcs between users and lines, a graph for each quarter."""
+    e = table(spark, sf_dir, "events")
     label = F.when(F.col("event_type").isin("click", "view"), "DDG").when(F.col("event_type") == "purchase", "Object_Data").otherwise("CFG")
-    return e.select((F.col("event_id") % 4).alias("g"), F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst"), label.alias("label")).distinct()
+    g = F.date_diff("ts", F.lit("2024-01-01").cast("date")) * 4 + F.floor(F.hour("ts") / 6)
+    return e.select(g.cast("long").alias("g"), F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst"), label.alias("label")).distinct()
 
 
 def chains(ev: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chains, roots, anchors) of a log: a chain for each user modulo seven, anchors at each eleventh event but for chains 2, 5."""
+    """(chains, roots, anchors) of a log: a chain for each user modulo seven, anchors at signups on lines below 30 but for chains 2, 5."""
     c = ev.select("pkg", (F.col("user_id") % 7).alias("chain")).distinct().withColumn("chain_ord", F.col("chain"))
     own = c.select("pkg", "chain", F.concat(F.lit("node_modules/p"), "chain", F.lit("/")).alias("root"))
     more = c.where("chain % 2 = 1").select("pkg", "chain", F.concat(F.lit("node_modules/p"), F.col("chain") - 1, F.lit("/")).alias("root"))
-    anchors = ev.where((F.col("event_id") % 11 == 0) & (F.col("user_id") % 7 % 3 != 2)).select("pkg", (F.col("user_id") % 7).alias("chain"), "idx")
+    anchors = ev.where((F.col("event_type") == "signup") & (F.col("line") < 30) & (F.col("user_id") % 7 % 3 != 2)).select("pkg", (F.col("user_id") % 7).alias("chain"), "idx")
     return c, own.unionByName(more), anchors
