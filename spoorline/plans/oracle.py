@@ -166,4 +166,10 @@ FROM ev e LEFT JOIN cat c ON c.qn = e.qn""",
     "q_base_package": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '@' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) || '/m' || p_partkey WHEN 1 THEN 'node:fs' WHEN 2 THEN '.' ELSE 'm' || p_partkey END AS base, p_partkey % 4 = 1 AS core, p_partkey % 4 IN (0, 3) AS third_party FROM part""",
     "q_model_stub": r"""WITH d AS (SELECT doc_id, text AS p FROM documents)
 SELECT doc_id, CASE WHEN contains(lower(p), 'password') OR contains(lower(p), 'secret') THEN 'malicious' WHEN contains(lower(p), 'http') THEN 'undetermined' ELSE 'benign' END AS judgement, CAST(len(regexp_extract_all(p, '\S+')) AS BIGINT) AS words FROM d""",
+    "q_interpreted_calls": f"""WITH {EV}, l AS (SELECT *, last_value(CASE WHEN event_type <> 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY pkg, line ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source FROM ev),
+  c AS (SELECT l.pkg, l.event_id AS node, l.source, l.user_id % 2 = 0 AS literal, s.event_type AS bt,
+    CASE s.event_type WHEN 'click' THEN 'fs' WHEN 'signup' THEN 'child_process' WHEN 'purchase' THEN 'p' || (s.user_id % 7) WHEN 'error' THEN '*' ELSE 'v' || l.line END || '.exec' AS qn
+    FROM l LEFT JOIN ev s ON s.event_id = l.source WHERE l.event_type = 'view')
+SELECT pkg, node, qn, CASE bt WHEN 'purchase' THEN 'third_party' WHEN 'error' THEN 'unresolved' ELSE 'external' END AS state, literal,
+  CASE WHEN bt = 'purchase' THEN 'third_party' WHEN bt = 'error' THEN 'unresolved' WHEN bt = 'signup' AND literal THEN 'sensitive' WHEN bt = 'signup' THEN 'conditional' END AS kind, source FROM c""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from ..operators import attribution, graph, intervals, joins, log, model, slicing, verdict
+from ..operators import attribution, graph, interpreter, intervals, joins, log, model, slicing, verdict
 from ..operators.catalog import RESOLVED_DOMAINS, lookup
 from . import views as V
 
@@ -424,5 +424,18 @@ def q_missing_graph(spark, sf):
     return data.unionByName(control)
 
 
+@query
+def q_interpreted_calls(spark, sf):
+    """Each package's events as a program: clicks, signups and purchases load a module into a name, errors a text; views call it."""
+    ev = V.events(spark, sf)
+    kind, name = F.col("event_type"), F.concat(F.lit("v"), "line")
+    module = F.when(kind == "click", "fs").when(kind == "signup", "node:child_process").otherwise(F.concat(F.lit("p"), F.col("user_id") % 7))
+    op = F.when(kind == "view", "call").when(kind == "error", "assign").otherwise("require")
+    args = F.when(kind == "view", F.array(F.concat(name, F.lit(".exec")), F.when(F.col("user_id") % 2 == 0, "'ls'").otherwise("command"))).when(kind == "error", F.array(F.lit("'x'"))).otherwise(F.array(F.concat(F.lit("'"), module, F.lit("'"))))
+    program = ev.select("pkg", F.lit("").alias("fn"), F.col("idx").alias("seq"), F.col("event_id").alias("node"), op.alias("op"), F.when(kind != "view", name).alias("dst"), args.alias("args"))
+    out = interpreter.interpreted(program, ["pkg"]).where(F.col("state").isin("external", "third_party", "conditional", "unresolved"))
+    return interpreter.classified(lookup(out, V.catalog(spark), "qn")).select("pkg", "node", "qn", "state", "literal", "kind", F.get("sources", F.lit(0)).alias("source"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_domain_rollup(spark, sf_dir)
