@@ -172,4 +172,11 @@ SELECT doc_id, CASE WHEN contains(lower(p), 'password') OR contains(lower(p), 's
     FROM l LEFT JOIN ev s ON s.event_id = l.source WHERE l.event_type = 'view')
 SELECT pkg, node, qn, CASE bt WHEN 'purchase' THEN 'third_party' WHEN 'error' THEN 'unresolved' ELSE 'external' END AS state, literal,
   CASE WHEN bt = 'purchase' THEN 'third_party' WHEN bt = 'error' THEN 'unresolved' WHEN bt = 'signup' AND literal THEN 'sensitive' WHEN bt = 'signup' THEN 'conditional' END AS kind, source FROM c""",
+    "q_call_arguments": """WITH e AS (SELECT event_id, event_type, user_id AS u, regexp_extract(props, '([0-9]+)', 1) AS line FROM events)
+SELECT event_id, CASE WHEN event_type = 'signup' THEN 'node f' || u || '.js ' || CASE WHEN u % 2 = 1 THEN line ELSE '-k' END END AS command,
+  CASE WHEN event_type = 'click' THEN '/p' || u END AS path, CASE WHEN event_type = 'click' THEN 'hé' END AS data,
+  CASE event_type WHEN 'purchase' THEN CASE WHEN u % 2 = 1 THEN '{"url":"https://h' || u || '/"}' ELSE '{"hostname":"h' || u || '","port":"' || line || '"}' END
+    WHEN 'view' THEN '[' || line || ',"h' || u || '"]' WHEN 'error' THEN 'h' || u END AS endpoint FROM e""",
+    "q_rendered_slices": """WITH l AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[A-Z]')), lambda x: x || ' // ' || regexp_extract(x, '^[A-Za-z]+')) AS ls FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT doc_id, array_to_string(ls, chr(10)) AS slice FROM l) SELECT d.doc_id, length(s.slice) AS chars, md5(s.slice) AS digest FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""",
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from ..operators import attribution, graph, interpreter, intervals, joins, log, model, slicing, verdict
+from ..functions import arguments
+from ..operators import attribution, graph, interpreter, intervals, joins, log, model, rendering, slicing, verdict
 from ..operators.catalog import RESOLVED_DOMAINS, lookup
 from . import views as V
 
@@ -437,5 +438,40 @@ def q_interpreted_calls(spark, sf):
     return interpreter.classified(lookup(out, V.catalog(spark), "qn")).select("pkg", "node", "qn", "state", "literal", "kind", F.get("sources", F.lit(0)).alias("source"))
 
 
+@query
+def q_call_arguments(spark, sf):
+    """Events as recorded calls: signups spawn, clicks write a buffer, purchases request, views connect, errors resolve."""
+    e = V.table(spark, sf, "events").withColumn("line", F.get_json_object("props", "$.k"))
+    u, odd = F.col("user_id"), F.col("user_id") % 2 == 1
+    t = lambda x, *cols: F.format_string(x, *cols)
+    spawned = F.when(odd, t('{"args": ["f%d.js", %s], "file": "node"}', u, "line")).otherwise(t('["node", ["f%d.js", "-k"], null]', u))
+    request = F.when(odd, t('["https://h%d/", null]', u)).otherwise(t('[{"port": %s, "hostname": "h%d"}]', "line", u))
+    call = (
+        F.when(F.col("event_type") == "signup", F.struct(F.lit("child_process.spawn").alias("name"), spawned.alias("args")))
+        .when(F.col("event_type") == "click", F.struct(F.lit("fs.writeFile").alias("name"), t('{"path": "/p%d", "data": {"type": "Buffer", "data": [104, 195, 169]}}', u).alias("args")))
+        .when(F.col("event_type") == "purchase", F.struct(F.lit("https.request").alias("name"), request.alias("args")))
+        .when(F.col("event_type") == "view", F.struct(F.lit("net.connect").alias("name"), t('[%s, "h%d", null]', "line", u).alias("args")))
+        .otherwise(F.struct(F.lit("dns.resolveMx").alias("name"), t('["h%d"]', u).alias("args")))
+    )
+    e = e.select("event_id", call.alias("c"))
+    name, args = F.col("c.name"), F.col("c.args")
+    wrote = arguments.written(name, args)
+    process = F.when(name.startswith("child_process."), arguments.command(name, args))
+    return e.select("event_id", process.alias("command"), wrote["path"].alias("path"), wrote["data"].alias("data"), arguments.endpoint(name, args).alias("endpoint"))
+
+
+@query
+def q_rendered_slices(spark, sf):
+    """Documents as files: each line that starts with a capital is flagged, its first word said of it."""
+    lines = F.split("text", "\n")
+    sizes = F.transform(lines, lambda x: F.octet_length(x))
+    places = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b) + i).alias("start"), F.element_at(sizes, i + 1).alias("size")))
+    hits = F.filter(places, lambda p: p["line"].rlike("^[A-Z]"))
+    none = F.lit(None).cast("int")
+    nodes = F.transform(hits, lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["size"]).alias("end"), none.alias("head"), none.alias("foot"), F.lit(True).alias("hit"), F.array(F.regexp_extract(p["line"], "^[A-Za-z]+", 0)).alias("info")))
+    d = V.table(spark, sf, "documents").select("doc_id", rendering.rendered(F.col("text"), nodes).alias("slice"))
+    return d.select("doc_id", F.length("slice").cast("long").alias("chars"), F.md5("slice").alias("digest"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_domain_rollup(spark, sf_dir)
