@@ -69,17 +69,17 @@ class TextModel:
         return self.log[:, t].mean(axis=1) * min(len(t), weight)
 
 
-def train(docs: DataFrame, rows: int = 4000, chars: int = 4000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_langs: int = 200) -> TextModel:
-    """Fitted on at most `rows` labelled documents, the first by a hash of their id, and `chars` of each. Counts are summed on
-    the executors; a row for each language comes back. More than max_langs languages are an error."""
-    sample = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substring(text, 1, chars).alias("text"), F.xxhash64(F.col(doc_id)).alias("h")).orderBy("h").limit(rows)
+def train(docs: DataFrame, rows: int = 4000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_langs: int = 200) -> TextModel:
+    """Fitted on at most `rows` labelled documents, the first by a hash of their id, and the whole text of each. Counts are summed
+    on the executors; a row for each language comes back. More than max_langs languages are an error."""
+    sample = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("h")).orderBy("h").limit(rows)
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 counts.setdefault(k, np.zeros(BINS, np.int64))
-                np.add.at(counts[k], trigrams(x), 1)
+                counts[k] += np.bincount(trigrams(x), minlength=BINS)
         if counts:
             yield pa.record_batch([pa.array(list(counts)), pa.array([c.tolist() for c in counts.values()], pa.list_(pa.int64()))], names=["lang", "n"])
 

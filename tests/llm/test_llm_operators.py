@@ -182,6 +182,12 @@ def test_language_of_held_out_documents_and_pages(spark, odd, empty):
     assert language_id.identify(some, language_id.train(empty)).count() == 5
 
 
+def test_language_model_counts_whole_texts(spark):
+    long = [(1, "aaa " * 2000 + "zzz " * 2000, "x"), (2, "bbb " * 2000 + "yyy " * 2000, "w")]
+    model = language_id.train(spark.createDataFrame(long, "doc_id long, text string, lang string"))
+    assert [model.langs[int(model.likelihood(t).argmax())] for t in ("zzz zzz", "yyy yyy")] == ["x", "w"]
+
+
 # 6
 
 
