@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, saved
+from .common import over_batches, released, saved
 
 #: Bins of hashed character trigrams.
 BINS = 1 << 14
@@ -69,27 +69,33 @@ class TextModel:
         return self.log[:, t].mean(axis=1) * min(len(t), weight)
 
 
-def train(docs: DataFrame, rows: int = 4000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_langs: int = 200) -> TextModel:
-    """Fitted on at most `rows` labelled documents, the first by a hash of their id, and the whole text of each. Counts are summed
-    on the executors; a row for each language comes back. More than max_langs languages are an error."""
-    sample = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("h")).orderBy("h").limit(rows)
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_langs: int = 200) -> TextModel:
+    """Fitted on the whole texts of all labelled documents, so that every label can be answered. Each task has counts of BINS
+    numbers a language; they are summed on the executors, and at most BINS rows a language come back. More than max_langs
+    languages are an error."""
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(max_langs + 1).collect())
+    if len(langs) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    if not langs:
+        return TextModel(["und"], np.zeros((1, BINS)))
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                counts.setdefault(k, np.zeros(BINS, np.int64))
+                if k not in counts:
+                    counts[k] = np.zeros(BINS, np.int64)
                 counts[k] += np.bincount(trigrams(x), minlength=BINS)
-        if counts:
-            yield pa.record_batch([pa.array(list(counts)), pa.array([c.tolist() for c in counts.values()], pa.list_(pa.int64()))], names=["lang", "n"])
-
-    total: dict[str, np.ndarray] = {}
-    for r in sample.select("lang", "text").mapInArrow(run, "lang string, n array<long>").collect():
-        total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["n"], float)
-    if len(total) > max_langs:
-        raise ValueError(f"{len(total)} languages")
-    langs = sorted(total) or ["und"]
-    return TextModel(langs, np.stack([total[k] for k in langs]) if total else np.zeros((1, BINS)))
+        for k, n in counts.items():
+            bins = np.flatnonzero(n)
+            yield pa.record_batch([pa.array([k] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(n[bins])], names=["lang", "bin", "n"])
+
+    parts = labelled.mapInArrow(released(run), "lang string, bin int, n long")
+    sums = parts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    total, place = np.zeros((len(langs), BINS)), {k: i for i, k in enumerate(langs)}
+    total[[place[k] for k in sums.column("lang").to_pylist()], sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
+    return TextModel(langs, total)
 
 
 def _softmax(v: np.ndarray) -> np.ndarray:

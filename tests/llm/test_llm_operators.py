@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spoorline.llm import jaccard_join, language_id, license_scan, quality_classifier, quality_rules
 from spoorline.llm.common import TOKENIZERS
@@ -188,6 +189,18 @@ def test_language_model_counts_whole_texts(spark):
     assert [model.langs[int(model.likelihood(t).argmax())] for t in ("zzz zzz", "yyy yyy")] == ["x", "w"]
 
 
+def test_rare_languages_are_known(spark):
+    many = spark.range(20_000).selectExpr("id AS doc_id", "'the cat of the house' AS text", "'en' AS lang")
+    rare = spark.createDataFrame([(i, f"{w} " * 20, w) for i, w in enumerate(("qqx", "wwy", "kkz"), 20_000)], "doc_id long, text string, lang string")
+    model = language_id.train(many.unionByName(rare))
+    assert model.langs == ["en", "kkz", "qqx", "wwy"]
+    assert [model.langs[int(model.likelihood(t).argmax())] for t in ("qqx qqx", "the house")] == ["qqx", "en"]
+    got = language_id.identify(spark.createDataFrame([(1, "http://a.example/", "<html lang=wwy>")], "page_id long, url string, html string"), model).first()
+    assert got.lang == "wwy"
+    with pytest.raises(ValueError):
+        language_id.train(many.withColumn("lang", F.col("doc_id").cast("string")))
+
+
 # 6
 
 
