@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -94,25 +95,48 @@ def normal(sentence: str) -> str:
 
 
 @cache
-def _known() -> dict[str, str]:
+def _known() -> tuple[dict[str, str], set[str]]:
+    """Known sentences, and the beginnings of them by whole words."""
     assert all(any(t in s for t in TRIGGERS) for s in SENTENCES.values())
-    return {s: k for k, s in SENTENCES.items()}
+    return {s: k for k, s in SENTENCES.items()}, {s[:i] for s in SENTENCES.values() for i in (*(m.start() for m in re.finditer(" ", s)), len(s))}
+
+
+def _runs(pieces: list[str]) -> Iterator[tuple[int, str]]:
+    """(place, identifier) of the known sentences that a piece or a run of consecutive ones is, the longest at each place.
+    A run goes on only while it begins a known sentence."""
+    known, begun = _known()
+    i = 0
+    while i < len(pieces):
+        run, best, j = pieces[i], None, i
+        while run in begun:
+            if run in known:
+                best = j, known[run]
+            j += 1
+            while j < len(pieces) and not pieces[j]:
+                j += 1
+            if j == len(pieces):
+                break
+            run = f"{run} {pieces[j]}"
+        if best:
+            yield i, best[1]
+            i = best[0]
+        i += 1
 
 
 def sentence_ids(text: str) -> list[tuple[int, str]]:
-    """(sentence number, identifier) of the known sentences, in order. A sentence ends at .!?;: before space, at an empty
-    line or before a list item; where a line alone, or two or more joined, are a known sentence, they count too."""
+    """(number of its first piece, identifier) of the known sentences, in order. A piece ends at .!?;: before space, at an
+    empty line or before a list item. A known sentence is a piece, a run of consecutive ones, or a line of a piece."""
     low = text.lower()
     if not any(t in low for t in TRIGGERS):
         return []
-    known, out, n = _known(), [], 0
-    for part in _SENTENCE_END.split(text):
-        whole = known.get(normal(part))
-        if whole is not None:
-            out.append((n, whole))
+    parts = _SENTENCE_END.split(low)
+    out, known = [], _known()[0]
+    found = dict(_runs([normal(p) for p in parts]))
+    for n, part in enumerate(parts):
+        if n in found:
+            out.append((n, found[n]))
         elif "\n" in part:
             out += [(n, known[x]) for x in map(normal, part.split("\n")) if x in known]
-        n += 1
     return out
 
 

@@ -326,6 +326,86 @@ def test_licences(spark, odd, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+NOTICES = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+NOTICES["GPL-2.0-or-later"] = NOTICES["GPL-3.0-or-later"].replace("software:", "software;").replace("version 3", "version 2")
+NOTICES["BSD-2-Clause"] = NOTICES["BSD-3-Clause"].split("\n\n3.")[0]
+NOTICES["BSD-1-Clause"] = NOTICES["BSD-3-Clause"].split("\n\n2.")[0]
+NOTICES["X11-like"], NOTICES["0BSD-like"] = NOTICES["MIT"].split("\n\n")[0], NOTICES["ISC"].split("\n\n")[0]
+SHORT = {"MIT": ["Released under the MIT License", "Licensed under the MIT license"], "Apache-2.0": ["Licensed under the Apache License, Version 2.0"], "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License version 3"], "CC0-1.0": ["Licensed under CC0 1.0"], "Proprietary": ["All rights reserved"]}
+SHORT |= {f"CC-{k}-4.0": [f"Licensed under CC {k} 4.0"] for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA")}
+
+
+def licences(text):
+    return license_scan.matches([k for _, k in license_scan.sentence_ids(text)])
+
+
+def test_rules_on_their_notices():
+    assert {*NOTICES, *SHORT} == {name for name, _ in license_scan.RULES}
+    for name, text in [*NOTICES.items(), *((k, f"{x}.") for k, xs in SHORT.items() for x in xs)]:
+        for form in (text, f"A program.\n\n{text}\n\nMore text.", "/*\n" + "".join(f" * {x}\n" for x in text.split("\n")) + " */", text.replace("\n", "\r\n")):
+            assert licences(form) == [name], form
+    known = [k for x in NOTICES.values() for _, k in license_scan.sentence_ids(x)]
+    assert {k for _, rule in license_scan.RULES for k in rule} == {*known, *(k for xs in SHORT.values() for x in xs for _, k in license_scan.sentence_ids(x)), "apache-2-the"}
+
+
 # 10
 
 
