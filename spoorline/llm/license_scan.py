@@ -85,7 +85,7 @@ RULES = [
 RESTRICTED = {"CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "Proprietary"}
 #: One of these is in every known sentence; a text without any has none.
 TRIGGERS = ("licen", "permission", "permitted", "warrant", "redistribution", "public domain", "copyright", "rights reserved", "mpl", "free software", "disclaims")
-_SENTENCE_END = re.compile(r"[.!?;:](?=\s|$)|\n\s*\n|\n(?=\s*[-*\d])")
+_PIECE_END = re.compile(r"[.!?;:](?=\s|$)|\n")
 _NOT_WORD = re.compile(r"[^0-9a-z]+")
 
 
@@ -124,20 +124,12 @@ def _runs(pieces: list[str]) -> Iterator[tuple[int, str]]:
 
 
 def sentence_ids(text: str) -> list[tuple[int, str]]:
-    """(number of its first piece, identifier) of the known sentences, in order. A piece ends at .!?;: before space, at an
-    empty line or before a list item. A known sentence is a piece, a run of consecutive ones, or a line of a piece."""
+    """(number of its first piece, identifier) of the known sentences, in order. A piece ends at .!?;: before space or with
+    its line; a known sentence is a piece or a run of consecutive ones, wherever the text around it begins and ends."""
     low = text.lower()
     if not any(t in low for t in TRIGGERS):
         return []
-    parts = _SENTENCE_END.split(low)
-    out, known = [], _known()[0]
-    found = dict(_runs([normal(p) for p in parts]))
-    for n, part in enumerate(parts):
-        if n in found:
-            out.append((n, found[n]))
-        elif "\n" in part:
-            out += [(n, known[x]) for x in map(normal, part.split("\n")) if x in known]
-    return out
+    return list(_runs([normal(p) for p in _PIECE_END.split(low)]))
 
 
 def matches(ids: list[str]) -> list[str]:

@@ -406,6 +406,12 @@ def test_rules_on_their_notices():
     assert {k for _, rule in license_scan.RULES for k in rule} == {*known, *(k for xs in SHORT.values() for x in xs for _, k in license_scan.sentence_ids(x)), "apache-2-the"}
 
 
+def test_notices_directly_after_or_before_other_lines():
+    for name, text in NOTICES.items():
+        assert licences(f"Copyright (c) 2020 X\n{text}") == [name]
+        assert licences(f"Copyright (c) 2020 X\nA program\n{text.removesuffix('.')}\nmore text") == [name]
+
+
 # 10
 
 
