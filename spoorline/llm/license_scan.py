@@ -83,8 +83,9 @@ RULES = [
 ]
 #: Licences that forbid commercial use or derivation, or keep all rights.
 RESTRICTED = {"CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "Proprietary"}
-#: One of these is in every known sentence; a text without any has none.
-TRIGGERS = ("licen", "permission", "permitted", "warrant", "redistribution", "public domain", "copyright", "rights reserved", "mpl", "free software", "disclaims")
+#: One of these is in every known sentence; a text without any has none. Each lies within a word, so that spaces and line
+#: breaks between words don't matter in texts that aren't in normal form.
+TRIGGERS = ("licen", "permission", "permitted", "warrant", "redistribution", "unencumbered", "copyright", "reserved", "mpl", "disclaims")
 _PIECE_END = re.compile(r"[.!?;:](?=\s|$)|\n")
 _NOT_WORD = re.compile(r"[^0-9a-z]+")
 
@@ -97,7 +98,7 @@ def normal(sentence: str) -> str:
 @cache
 def _known() -> tuple[dict[str, str], set[str]]:
     """Known sentences, and the beginnings of them by whole words."""
-    assert all(any(t in s for t in TRIGGERS) for s in SENTENCES.values())
+    assert all(normal(t) == t and " " not in t for t in TRIGGERS) and all(any(t in s for t in TRIGGERS) for s in SENTENCES.values())
     return {s: k for k, s in SENTENCES.items()}, {s[:i] for s in SENTENCES.values() for i in (*(m.start() for m in re.finditer(" ", s)), len(s))}
 
 

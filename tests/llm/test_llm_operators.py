@@ -412,6 +412,12 @@ def test_notices_directly_after_or_before_other_lines():
         assert licences(f"Copyright (c) 2020 X\nA program\n{text.removesuffix('.')}\nmore text") == [name]
 
 
+@pytest.mark.parametrize("gap", ["\n", "  ", "\u00a0", "\t", "-", "\r\n"])
+def test_sentences_alone_with_any_gap_between_words(gap):
+    for k, x in license_scan.SENTENCES.items():
+        assert [i for _, i in license_scan.sentence_ids(f"Some text.\n{x.replace(' ', gap)}.")] == [k]
+
+
 # 10
 
 
