@@ -143,6 +143,21 @@ def test_fast_and_slow_ids_are_equal():
         assert token_ids(x, ranks, model).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_packed_ids_equal_the_library_by_default(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    r, parts = random.Random(5), ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "the", " a", "'ll", "é", "\0", "19"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", " " * 20_000 + "<|endoftext|>" + " " * 20_000, *("".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(300))]
+    got = defaultdict(list)
+    for p in pack(spark.createDataFrame([(i, x, f"s{i % 3}") for i, x in enumerate(texts)], "doc_id long, text string, source string"), with_ids=True).collect():
+        got[p.doc_id].append((p.start, p.ids, p.doc_tokens))
+    for i, x in enumerate(texts):
+        want = [*t.encode(x, add_special_tokens=False).ids, 0]
+        assert [k for _, ids, _ in sorted(got[i]) for k in ids] == want and {n for _, _, n in got[i]} == {len(want)}, repr(x)
+    assert [k for k in sorted(got[0])[0][1]] == [64, 220, 50256, 275, 0]
+
+
 # 4
 
 
