@@ -1,12 +1,12 @@
 """Operator 2, suffix-array dedup: a depth-limited radix sort of suffixes by most-significant-digit passes.
 
-Suffixes are ordered only through their first `size` bytes, and only as far as groups of equals need: a suffix leaves as soon
-as its group has one member. Any fixed order of a window's bytes serves to group equals, so the digits are read from where
-the window says: (1) its minimiser, the gram of least hash; neighbouring windows share it and travel as one run; (2) the whole
-run, which settles copies at once; (3) for what differs there, blocks of 32 windows about the minimiser, by the bytes that
-all of a block share and by all its bytes; (4) the single windows of blocks that are shared in part. The equal groups left
-are exactly the repeated windows, up to collisions of 64-bit hashes within one gram. A hot gram is only ever counted
-map-side or joined, never gathered.
+Suffixes are ordered only through their first `size` bytes, and leave as soon as their group has one member; the groups left
+at the end are exactly the repeated windows. The first digit is one that any place of a window's bytes may give: its
+minimiser, the gram of least hash. Neighbouring windows share it and travel as one run, so that the text is dealt into buckets
+without a row for each suffix; equal runs of a bucket are settled at once, and one of each kind goes on with its bytes. Within
+a bucket the passes go from left to right, eight bytes a digit, through the threshold: equality is that of the bytes. A bucket
+of more than FEW kinds isn't gathered in a task: two distributed digits split it first (what all windows of a block of 32
+share, then single windows), which are counted map-side.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, suspected
-from .common import broadcast, keyed, over_batches, released, saved, texts
+from .common import broadcast, keyed, over_batches, released, saved, scratch, texts
 from .repeats import runs
 
-#: Windows of a block of pass 3.
-BLOCK = 32
+#: Windows of a block, by which a hot bucket is split; kinds of runs of a bucket that is sorted in one task; windows sorted at once.
+BLOCK, FEW, AT_ONCE = 32, 2048, 1 << 19
 
 
 def _longs(a: np.ndarray) -> pa.Array:
@@ -42,22 +42,26 @@ def _hash(data: bytes, seed: int) -> int:
 
 
 def _scan(size: int):
-    """A row a document: its bytes, digest, and each run's gram and hash. dk numbers rows; the table is stored before use."""
+    """A row a document: its bytes, digest, and each run's gram, hash, first window and, from there, anchor. dk numbers rows; the table is stored before use."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
-            n, sha, grams, whole = [], [], [], []
+            n, sha, grams, whole, first, rel = [], [], [], [], [], []
             for x in texts(b):
-                lo, hi, _, g = runs(x, size)
+                lo, hi, at, g = runs(x, size)
                 n.append(len(x))
                 sha.append(hashlib.sha256(x).hexdigest())
                 grams.append(g)
                 whole.append(np.fromiter((_hash(x[i : j + size], 0) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo)))
+                first.append(lo.astype(np.uint64))
+                rel.append((at - lo).astype(np.uint64))
             if n:
                 dk = np.arange(seq, seq + len(n), dtype=np.uint64) | np.uint64(part << 40)
                 seq += len(n)
-                yield pa.record_batch([b.column("rk"), _longs(dk), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), _lists(grams), _lists(whole)], names=["rk", "dk", "doc_id", "n_bytes", "sha", "grams", "runs"])
+                small = lambda parts, t: _lists(parts).cast(pa.list_(t))
+                cols = [b.column("rk"), _longs(dk), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), _lists(grams), _lists(whole), small(first, pa.int32()), small(rel, pa.int16())]
+                yield pa.record_batch(cols, names=["rk", "dk", "doc_id", "n_bytes", "sha", "grams", "runs", "first", "rel"])
 
     return run
 
@@ -66,22 +70,25 @@ def _grams(b: pa.RecordBatch) -> list[np.ndarray]:
     return [b.column("grams").flatten().to_numpy(zero_copy_only=False).view(np.uint64)]
 
 
-def _repeated_runs(bits):
-    """(gram, run, dk, r) of runs whose gram may be seen twice."""
+def _repeated_runs(bits, size: int):
+    """(gram, run, dk, s, e, o) of runs whose gram may be seen twice: windows s..e, the anchor at s + o."""
 
     def make():
         known = bits.value
 
         def step(b: pa.RecordBatch):
-            g, w = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("grams", "runs"))
+            g, w, lo, rel = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("grams", "runs", "first", "rel"))
             count = b.column("grams").value_lengths().to_numpy(zero_copy_only=False)
             if not len(g):
                 return
             dk = np.repeat(b.column("dk").to_numpy(zero_copy_only=False), count)
-            r = np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
+            hi = np.append(lo[1:], 0) - 1  # runs follow one another, the last ends with the text
+            last = np.cumsum(count)[count > 0] - 1
+            hi[last] = b.column("n_bytes").to_numpy(zero_copy_only=False)[count > 0] - size
             hit = suspected(known, g.view(np.uint64))
             if hit.any():
-                yield pa.record_batch([pa.array(a[hit], t) for a, t in ((g, pa.int64()), (w, pa.int64()), (dk, pa.int64()), (r, pa.int32()))], names=["gram", "run", "dk", "r"])
+                cols = ((g, pa.int64()), (w, pa.int64()), (dk, pa.int64()), (lo, pa.int32()), (hi, pa.int32()), (rel, pa.int16()))
+                yield pa.record_batch([pa.array(a[hit], t) for a, t in cols], names=["gram", "run", "dk", "s", "e", "o"])
 
         return step
 
@@ -120,24 +127,108 @@ def _blocks(anchor: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _with_bytes(size: int):
+    """(gram, n, dk, s, e, o, data): the runs wanted, with their bytes."""
+
+    def make():
+        def step(b: pa.RecordBatch):
+            rows = [(w["gram"], w["n"], w["dk"], w["s"], w["e"], w["o"], x[w["s"] : w["e"] + size]) for x, want in zip(texts(b), b.column("want").to_pylist(), strict=True) for w in want]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "n", "dk", "s", "e", "o", "data"])
+
+        return step
+
+    return over_batches(make)
+
+
+def equal_through(data: np.ndarray, start: np.ndarray, group: np.ndarray, size: int) -> np.ndarray:
+    """Which suffixes data[start:] have an equal through `size` bytes in their group, by most-significant-digit passes of eight bytes.
+
+    The suffixes stay in order of the digits so far. A pass leaves a group alone where all its digits are one, sorts it by the
+    digit where not, and takes out who is alone in its group then.
+    """
+    out = np.zeros(len(start), bool)
+    words = np.ndarray((max(0, len(data) - 7),), np.uint64, buffer=data, strides=(1,))
+    live = np.argsort(group, kind="stable")
+    g = group[live]
+    for at in [*range(0, size - 7, 8), *([size - 8] if size % 8 else []), None]:
+        new = np.ones(len(live), bool)
+        new[1:] = g[1:] != g[:-1]
+        alone = new & np.append(new[1:], True)
+        if alone.any():
+            live, g, new = live[~alone], g[~alone], new[~alone]
+        if at is None or not len(live):
+            break
+        digit, g = words[start[live] + at], np.cumsum(new)
+        mixed = np.zeros(g[-1] + 1, bool)
+        mixed[g[1:][~new[1:] & (digit[1:] != digit[:-1])]] = True
+        if mixed.any():
+            some = np.flatnonzero(mixed[g])
+            order = some[np.lexsort((digit[some], g[some]))]
+            live[some], digit[some] = live[order], digit[order]
+            new[1:] |= digit[1:] != digit[:-1]
+            g = np.cumsum(new)
+    out[live] = True
+    return out
+
+
+def _sorted(size: int):
+    """Rows by gram -> (dk, s, e): runs of windows that others of the bucket equal. Whole buckets are sorted, some at once."""
+
+    def run(batches):
+        held: list[tuple] = []
+        n = 0
+
+        def found():
+            grams = np.array([h[0] for h in held], np.int64)
+            data = np.frombuffer(b"".join(h[5] for h in held), np.uint8)
+            n_win = np.array([h[3] - h[2] + 1 for h in held], np.int64)
+            base = np.cumsum([0, *(len(h[5]) for h in held[:-1])])
+            row = np.repeat(np.arange(len(held)), n_win)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
+            bucket = np.cumsum(np.append(False, grams[1:] != grams[:-1]))
+            offset = np.array([h[4] for h in held], np.int64)[row] - inner  # the anchor's place in the window: equal in equal windows
+            hit = equal_through(data, base[row] + inner, bucket[row] * 65536 + offset, size)
+            edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
+            cut = np.zeros(len(row) + 1, bool)
+            cut[np.cumsum(n_win)[:-1]] = True  # spans end with their run
+            inside = np.append(hit, False) & np.append(False, hit) & cut
+            first = np.flatnonzero((edge == 1) | inside)
+            last = np.flatnonzero((edge == -1) | inside) - 1
+            if len(first):
+                own = row[first]
+                dk, s = np.array([h[1] for h in held], np.int64)[own], np.array([h[2] for h in held], np.int64)[own]
+                yield pa.record_batch([pa.array(dk), pa.array((s + inner[first]).astype(np.int32)), pa.array((s + inner[last]).astype(np.int32))], names=["dk", "s", "e"])
+
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("gram", "dk", "s", "e", "o", "data")), strict=True):
+                if n > AT_ONCE and held[-1][0] != r[0]:
+                    yield from found()
+                    held, n = [], 0
+                held.append(r)
+                n += r[3] - r[2] + 1
+        if held:
+            yield from found()
+
+    return run
+
+
 def _block_rows(size: int):
-    """Pass 3: (dk, r, b, core, whole) of the runs wanted."""
+    """A hot bucket's next digit: (gram, b, core, whole, dk, s, e, run_s) of each run's blocks."""
 
     def make():
         def step(b: pa.RecordBatch):
             rows = []
-            for x, want in zip(texts(b), b.column("want").to_pylist(), strict=True):
-                lo, hi, at, g = (a.tolist() for a in runs(x, size))
-                for w in want:
-                    r = w["r"]
-                    for k, s, e in _blocks(at[r], lo[r], hi[r]):
-                        # what all windows of the full block share, and what those of this run's part of it cover
-                        core = _hash(x[at[r] - k * BLOCK : at[r] - k * BLOCK - BLOCK + 1 + size], g[r] ^ (k + 1))
-                        whole = _hash(x[s : e + size], g[r] ^ ((at[r] - s) * 65536 + (at[r] - e) + 1))
-                        rows.append((w["dk"], r, k, core, whole))
+            for g, dk, s, e, o, x in zip(*(b.column(c).to_pylist() for c in ("gram", "dk", "s", "e", "o", "data")), strict=True):
+                for k, lo, hi in _blocks(s + o, s, e):
+                    # what all windows of the full block share, and what those of this run's part of it cover
+                    core = _hash(x[o - k * BLOCK : o - k * BLOCK - BLOCK + 1 + size], k + 1)
+                    whole = _hash(x[lo - s : hi - s + size], (s + o - lo) * 65536 + (s + o - hi) + 1)
+                    rows.append((g, k, core, whole, dk, lo, hi, s))
             if rows:
-                dk, r, k, core, whole = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(dk, pa.int64()), pa.array(r, pa.int32()), pa.array(k, pa.int32()), _longs(np.array(core, np.uint64)), _longs(np.array(whole, np.uint64))], names=["dk", "r", "b", "core", "whole"])
+                g, k, core, whole, dk, lo, hi, s = zip(*rows, strict=True)
+                cols = [pa.array(g, pa.int64()), pa.array(k, pa.int32()), _longs(np.array(core, np.uint64)), _longs(np.array(whole, np.uint64)), pa.array(dk, pa.int64()), *(pa.array(c, pa.int32()) for c in (lo, hi, s))]
+                yield pa.record_batch(cols, names=["gram", "b", "core", "whole", "dk", "s", "e", "run_s"])
 
         return step
 
@@ -145,22 +236,15 @@ def _block_rows(size: int):
 
 
 def _window_rows(size: int):
-    """Pass 4: (dk, s, h) of each window of the blocks wanted."""
+    """The last digit of a hot bucket: (gram, core, o, h, dk, s) of each window of the blocks wanted."""
 
     def make():
         def step(b: pa.RecordBatch):
-            dk, at_s, hs = [], [], []
-            for x, want in zip(texts(b), b.column("want").to_pylist(), strict=True):
-                lo, hi, at, g = (a.tolist() for a in runs(x, size))
-                for w in want:
-                    r = w["r"]
-                    for k, s, e in _blocks(at[r], lo[r], hi[r]):
-                        if k == w["b"]:
-                            dk += [w["dk"]] * (e - s + 1)
-                            at_s += range(s, e + 1)
-                            hs += [_hash(x[i : i + size], g[r] ^ (at[r] - i + 1)) for i in range(s, e + 1)]
-            if dk:
-                yield pa.record_batch([pa.array(dk, pa.int64()), pa.array(at_s, pa.int64()), _longs(np.array(hs, np.uint64))], names=["dk", "s", "h"])
+            rows = []
+            for g, core, dk, s, o, x, lo, hi in zip(*(b.column(c).to_pylist() for c in ("gram", "core", "dk", "s", "o", "data", "lo", "hi")), strict=True):
+                rows += [(g, core, s + o - i, _hash(x[i - s : i - s + size], 0), dk, i) for i in range(lo, hi + 1)]
+            g, core, o, h, dk, s = zip(*rows, strict=True)
+            yield pa.record_batch([pa.array(g, pa.int64()), pa.array(core, pa.int64()), pa.array(o, pa.int32()), _longs(np.array(h, np.uint64)), pa.array(dk, pa.int64()), pa.array(s, pa.int32())], names=["gram", "core", "o", "h", "dk", "s"])
 
         return step
 
@@ -173,19 +257,14 @@ def _cut(size: int, with_text: bool):
     def make():
         def step(b: pa.RecordBatch):
             rows = []
-            for x, found in zip(texts(b), b.column("found").to_pylist(), strict=True):
-                lo, hi, at, _ = (a.tolist() for a in runs(x, size))
+            found = b.column("found")
+            spans = found.flatten()
+            first, last = spans.field("s").to_numpy(zero_copy_only=False), spans.field("e").to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *found.value_lengths().to_numpy(zero_copy_only=False)])
+            for x, i, j in zip(texts(b), ends[:-1], ends[1:], strict=True):
                 edge = np.zeros(len(x) + 1, np.int32)
-                for f in found:
-                    if f["b"] is None and f["r"] is not None:
-                        spans = [(lo[f["r"]], hi[f["r"]])]
-                    elif f["r"] is not None:
-                        spans = [(s, e) for k, s, e in _blocks(at[f["r"]], lo[f["r"]], hi[f["r"]]) if k == f["b"]]
-                    else:
-                        spans = [(f["s"], f["s"])]
-                    for s, e in spans:
-                        edge[s] += 1
-                        edge[e + size] -= 1
+                np.add.at(edge, first[i:j], 1)
+                np.add.at(edge, last[i:j] + size, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 left = np.frombuffer(x, np.uint8)[~gone].tobytes()
                 starts = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
@@ -198,36 +277,43 @@ def _cut(size: int, with_text: bool):
     return over_batches(make)
 
 
-def repeated_spans(docs: DataFrame, size: int = 400) -> tuple[DataFrame, DataFrame]:
-    """docs as keyed() gives them -> (scanned: rk, dk, doc_id, n_bytes, sha; found: rk, found: array of what is repeated).
+def _of_hot(runs: DataFrame, size: int) -> DataFrame:
+    """(dk, s, e) of repeated windows in buckets of many kinds, by two distributed digits more; no bucket is gathered."""
+    blocks = saved(runs.mapInArrow(_block_rows(size), "gram long, b int, core long, whole long, dk long, s int, e int, run_s int"), "blocks")
+    digit = ["gram", "b", "core"]
+    kinds = saved(blocks.groupBy(*digit, "whole").agg(F.count("*").alias("n"), F.min(F.struct("dk", "s", "e", "run_s")).alias("at")), "block_kinds")
+    alike = blocks.join(kinds.where("n > 1").select(*digit, "whole"), [*digit, "whole"], "left_semi").select("dk", "s", "e")
+    mixed = saved(kinds.groupBy(*digit).count().where("count > 1").select(*digit), "mixed_blocks")
+    places = kinds.join(mixed, digit, "left_semi").select("core", "at.dk", F.col("at.run_s").alias("s"), F.col("at.s").alias("lo"), F.col("at.e").alias("hi"))
+    windows = saved(places.join(runs.select("gram", "dk", "s", "o", "data"), ["dk", "s"]).mapInArrow(_window_rows(size), "gram long, core long, o int, h long, dk long, s int"), "windows")
+    twice = windows.groupBy("gram", "core", "o", "h").count().where("count > 1").drop("count")
+    single = windows.join(twice, ["gram", "core", "o", "h"], "left_semi").select("dk", "s", F.col("s").alias("e"))
+    return alike.unionByName(single)
 
-    Of `found`, a row has r (a run, wholly repeated), r and b (a block of it), or s (the start of a single window).
-    """
-    scanned = saved(docs.mapInArrow(released(_scan(size)), "rk binary, dk long, doc_id long, n_bytes long, sha string, grams array<long>, runs array<long>"), "scanned")
-    names = scanned.select("rk", "dk")
-    bits = broadcast(docs.sparkSession, bloom(scanned.select("grams"), _grams, "twice"))
-    each = saved(scanned.select("dk", "grams", "runs").mapInArrow(_repeated_runs(bits), "gram long, run long, dk long, r int"), "runs")
-    # passes 1 and 2: distinct runs of each gram, with one place of each
-    kinds = saved(each.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("dk", "r")).alias("at")), "kinds")
-    whole = each.join(kinds.where("n > 1").select("gram", "run"), ["gram", "run"]).select("dk", F.struct("r", F.lit(None).cast("int").alias("b"), F.lit(None).cast("long").alias("s")).alias("f"))
-    mixed = saved(kinds.groupBy("gram").count().where("count > 1").select("gram"), "mixed")
-    places = kinds.join(mixed, "gram").select("at.dk", "at.r")
-    wanted = saved(places.join(names, "dk").groupBy("rk").agg(F.collect_list(F.struct("dk", "r")).alias("want")), "wanted")
-    blocks = saved(_only(docs, wanted).select("text", "want").mapInArrow(_block_rows(size), "dk long, r int, b int, core long, whole long"), "blocks")
-    # pass 3: blocks alike in all, and blocks alike in their common part
-    shared = saved(blocks.groupBy("core", "whole").count().groupBy("core").agg(F.sum("count").alias("n")).where("n > 1").select("core"), "shared")
-    blocks = saved(blocks.join(shared, "core"), "shared_blocks")
-    alike = saved(blocks.groupBy("whole").count().where("count > 1").select("whole", F.lit(True).alias("alike")), "alike")
-    judged = blocks.join(alike, "whole", "left").select("dk", "r", "b", F.coalesce("alike", F.lit(False)).alias("alike"))
-    judged = saved(judged, "judged")
-    by_block = judged.where("alike").select("dk", F.struct("r", "b", F.lit(None).cast("long").alias("s")).alias("f"))
-    # Blocks alike in all go through pass 4 too, beside those that may match them in part
-    singles = saved(judged.join(names, "dk").groupBy("rk").agg(F.collect_list(F.struct("dk", "r", "b")).alias("want")), "singles")
-    windows = saved(_only(docs, singles).select("text", "want").mapInArrow(_window_rows(size), "dk long, s long, h long"), "windows")
-    twice = windows.groupBy("h").count().where("count > 1").select("h")
-    by_window = windows.join(saved(twice, "twice"), "h").select("dk", F.struct(F.lit(None).cast("int").alias("r"), F.lit(None).cast("int").alias("b"), "s").alias("f"))
-    found = whole.unionByName(by_block).unionByName(by_window).join(names, "dk").groupBy("rk").agg(F.collect_set("f").alias("found"))
-    return scanned.select("rk", "dk", "doc_id", "n_bytes", "sha"), saved(found, "found")
+
+def repeated_spans(docs: DataFrame, size: int = 400) -> tuple[DataFrame, DataFrame]:
+    """docs as keyed() gives them -> (scanned: rk, dk, doc_id, n_bytes, sha; found: rk, found: array of (s, e), the starts of
+    repeated windows from s to e)."""
+    with scratch(docs.sparkSession):
+        scanned = saved(docs.mapInArrow(released(_scan(size)), "rk binary, dk long, doc_id long, n_bytes long, sha string, grams array<long>, runs array<long>, first array<int>, rel array<short>"), "scanned", keep=True)
+        names = scanned.select("rk", "dk")
+        bits = broadcast(docs.sparkSession, bloom(scanned.select("grams"), _grams, "twice"))
+        each = saved(scanned.select("dk", "n_bytes", "grams", "runs", "first", "rel").mapInArrow(_repeated_runs(bits, size), "gram long, run long, dk long, s int, e int, o short"), "runs")
+        # buckets, and in each the kinds of runs with one place of each
+        kinds = saved(each.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("dk", "s", "e", "o")).alias("at")), "kinds")
+        whole = each.join(kinds.where("n > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("dk", "s", "e")
+        mixed = saved(kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "mixed")
+        places = kinds.select("gram", "at").join(mixed, "gram").select("gram", "n", "at.*")
+        wanted = saved(places.join(names, "dk").groupBy("rk").agg(F.collect_list(F.struct("gram", "n", "dk", "s", "e", "o")).alias("want")), "wanted")
+        data = saved(_only(docs, wanted).select("text", "want").mapInArrow(_with_bytes(size), "gram long, n long, dk long, s int, e int, o short, data binary"), "run_bytes")
+        few = data.where(F.col("n") <= FEW).select("gram", "dk", "s", "e", "o", "data").repartition("gram").sortWithinPartitions("gram")
+        equal = saved(few.mapInArrow(released(_sorted(size)), "dk long, s int, e int"), "equal")
+        found = whole.unionByName(equal)
+        hot = data.where(F.col("n") > FEW)
+        if not hot.isEmpty():
+            found = found.unionByName(_of_hot(hot, size))
+        found = saved(found.join(names, "dk").groupBy("rk").agg(F.collect_list(F.struct("s", "e")).alias("found")), "found", keep=True)
+        return scanned.select("rk", "dk", "doc_id", "n_bytes", "sha"), found
 
 
 def remove_repeats(docs: DataFrame, size: int = 400, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spoorline.llm import jaccard_join, language_id, license_scan, quality_classifier, quality_rules
+from spoorline.llm import jaccard_join, language_id, license_scan, quality_classifier, quality_rules, suffix_dedup
 from spoorline.llm.common import TOKENIZERS
 from spoorline.llm.decontaminate import decontaminate, report
 from spoorline.llm.jaccard_join import jaccard_classes, keep_one, shingles
@@ -76,7 +76,9 @@ def test_suffix_dedup_equals_all_windows(spark, odd, docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
-def test_suffix_dedup_of_shared_passages(spark):
+@pytest.mark.parametrize("few", [2048, 1])
+def test_suffix_dedup_of_shared_passages(spark, monkeypatch, few):
+    monkeypatch.setattr(suffix_dedup, "FEW", few)
     r = random.Random(5)
     word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     shared = [word(n) for n in (399, 400, 401, 700, 2500)]
@@ -87,6 +89,18 @@ def test_suffix_dedup_of_shared_passages(spark):
     assert all(hashlib.sha256(x.kept).hexdigest() == x.kept_sha256 for x in kept.values()) and len(kept) == 60
 
 
+def test_digit_passes_equal_a_table_of_windows():
+    r = np.random.default_rng(0)
+    for size, kinds in ((8, 2), (9, 3), (23, 1), (40, 2)):
+        data = np.tile(r.integers(0, kinds, 400, dtype=np.uint8), 3)
+        data[r.integers(0, len(data), 5)] = 9
+        start = np.arange(len(data) - size + 1)
+        group = start % 3
+        seen = Counter((g, data[s : s + size].tobytes()) for s, g in zip(start, group, strict=True))
+        want = [seen[g, data[s : s + size].tobytes()] > 1 for s, g in zip(start, group, strict=True)]
+        assert suffix_dedup.equal_through(data, start, group, size).tolist() == want
+
+
 # 3
 
 
