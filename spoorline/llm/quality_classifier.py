@@ -1,14 +1,21 @@
-"""Operator 7, quality classifier: co-training of a text view and a metadata view that teach each other."""
+"""Operator 7, quality classifier: co-training of a text view and a metadata view that teach each other.
+
+Both views of every document are stored once. In each round all documents are scored by either view, and those that it is surest
+of become labelled examples of the other; a bounded sample of labelled rows starts them off.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches
+from .common import broadcast, over_batches, released, saved
 from .quality_rules import features
 
 TEXT_BINS, META_BINS = 192, 96
@@ -81,65 +88,125 @@ class CoTrained:
         return a, b, self.both.score(np.column_stack([a, b]))
 
 
-def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.95) -> CoTrained:
-    """Every fourth labelled row calibrates, the others train. In each round either view labels the pool rows that it is surest
-    of (at most a share of the pool for each class, and only with probability `sure`) for the other to learn from."""
-    held = np.arange(len(y)) % 4 == 3
-    base_t, base_m, base_y = t[~held], m[~held], y[~held]
-    for_text, for_meta = (np.zeros(0, int), np.zeros(0)), (np.zeros(0, int), np.zeros(0))
-    most = max(1, int(share * len(pool_t)))
+def _probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def surest(features: DataFrame, teachers: dict[str, Logistic], learned: dict[str, set[int]], most: int, sure: float) -> list[tuple]:
+    """What two views teach each other: (learner, y, p, key, x), for each learner ("t" or "m") and label at most `most` rows of
+    features, those that the other view is surest of. All rows are scored; tasks pass on their own surest only, in two levels."""
+    spark = features.sparkSession
+    shared = broadcast(spark, (teachers, {k: np.array(sorted(v), np.int64) for k, v in learned.items()}))
+    names = ["learner", "y", "p", "key", "x"]
 
-    def fit(base, pool, added):
-        return Logistic().fit(np.concatenate([base, pool[added[0]]]), np.concatenate([base_y, added[1]]))
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float32()))
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    def surest(model, pool, known):
-        p = 1 / (1 + np.exp(-np.clip(model.score(pool), -30, 30)))
-        order, fresh = np.argsort(p, kind="stable"), ~np.isin(np.arange(len(p)), known[0])
-        bad = [i for i in order if fresh[i] and p[i] <= 1 - sure][:most]
-        good = [i for i in order[::-1] if fresh[i] and p[i] >= sure][:most]
-        return np.concatenate([known[0], bad, good]).astype(int), np.concatenate([known[1], np.zeros(len(bad)), np.ones(len(good))])
+    def best(rows: list[tuple]) -> list[tuple]:
+        out = []
+        for learner in ("t", "m"):
+            for y in (0, 1):
+                out += sorted((r for r in rows if r[:2] == (learner, y)), key=lambda r: (-r[2] if r[1] else r[2], r[3]))[:most]
+        return out
+
+    def score(batches):
+        model, known = shared.value
+        kept: list[tuple] = []
+        for b in batches:
+            key = b.column("key").to_numpy(zero_copy_only=False)
+            views = {v: _matrix(b, v) for v in ("t", "m")}
+            for learner, teacher in (("t", "m"), ("m", "t")):
+                p = _probability(model[teacher].score(views[teacher]))
+                fresh = ~np.isin(key, known[learner])
+                for y, ok, rank in ((0, fresh & (p <= 1 - sure), p), (1, fresh & (p >= sure), -p)):
+                    some = np.flatnonzero(ok)
+                    some = some[np.lexsort((key[some], rank[some]))][:most]
+                    kept += [(learner, y, float(p[i]), int(key[i]), views[learner][i].astype(np.float32)) for i in some]
+            if len(kept) > 16 * most:
+                kept = best(kept)
+        if kept:
+            yield batch(best(kept))
+
+    def again(batches):
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in names), strict=True)]
+        if rows:
+            yield batch(best(rows))
+
+    schema = "learner string, y int, p double, key long, x array<float>"
+    first = features.select("key", "t", "m").mapInArrow(released(score), schema)
+    level = max(1, math.isqrt(features.rdd.getNumPartitions()))
+    found = first.repartition(level).mapInArrow(released(again), schema).collect()  # at most 4 x most rows from each of the second level's tasks
+    return best([(r["learner"], r["y"], r["p"], r["key"], r["x"]) for r in found])
+
+
+def _matrix(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float)
+
+
+def folds(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n labelled rows: those that train, every eighth that calibrates the views, and every eighth that weighs them."""
+    place = np.arange(n) % 8
+    return np.isin(place, (3, 7), invert=True), place == 3, place == 7
+
+
+def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, teach: Callable[[dict[str, Logistic], dict[str, set[int]]], list[tuple]], rounds: int = 4) -> CoTrained:
+    """Views t and m of labelled rows. In each round teach(views so far, keys learned so far) gives the rows that either view
+    labels for the other to learn from."""
+    base, calibrates, weighs = folds(len(y))
+    own = {"t": t, "m": m}
+    added: dict[str, list[tuple]] = {"t": [], "m": []}
+
+    def fit(view: str) -> Logistic:
+        more = added[view]
+        x = np.concatenate([own[view][base], np.array([r[4] for r in more], float).reshape(len(more), -1)]) if more else own[view][base]
+        return Logistic().fit(x, np.concatenate([y[base], np.array([r[1] for r in more], float)]))
 
     for _ in range(rounds):
-        text, meta = fit(base_t, pool_t, for_text), fit(base_m, pool_m, for_meta)
-        for_text, for_meta = surest(meta, pool_m, for_text), surest(text, pool_t, for_meta)
-    text = fit(base_t, pool_t, for_text).calibrate(t[held], y[held])
-    meta = fit(base_m, pool_m, for_meta).calibrate(m[held], y[held])
-    both = Logistic(1.0).fit(np.column_stack([text.log_odds(t[held]), meta.log_odds(m[held])]), y[held])
+        for r in teach({v: fit(v) for v in own}, {v: {r[3] for r in added[v]} for v in own}):
+            added[r[0]].append(r)
+    text, meta = (fit(v).calibrate(own[v][calibrates], y[calibrates]) for v in own)
+    both = Logistic(1.0).fit(np.column_stack([text.log_odds(t[weighs]), meta.log_odds(m[weighs])]), y[weighs])
     return CoTrained(text, meta, both)
 
 
 def _views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     t = np.stack([text_view((x or "").encode()) for x in b.column("text").to_pylist()])
     m = np.stack([meta_view(*r) for r in zip(*(b.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)])
-    return t, m
+    return t.astype(np.float32), m.astype(np.float32)
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, t, m): both views of every document, of whole texts; key is a hash of id and text."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
 
+    def make():
+        def step(b: pa.RecordBatch):
+            views = [pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel())) for v in _views(b)]
+            yield pa.record_batch([b.column("doc_id"), b.column("key"), *views], names=["doc_id", "key", "t", "m"])
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, pool: int = 4000) -> CoTrained:
-    """Fitted on at most `rows` labelled and `pool` other documents, the first of each by a hash of their id. Labels that are
-    null, other than 0 or 1, or contradict each other are left out."""
-    good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2").select("doc_id", "y")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().join(good, "doc_id", "left")
-    order = F.xxhash64("doc_id", F.lit(17))
-    some = ids.where("y IS NOT NULL").orderBy(order, "doc_id").limit(rows).unionByName(ids.where("y IS NULL").orderBy(order, "doc_id").limit(pool))
+        return step
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                t, m = _views(b)
-                yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(list(t.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(m.astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "y", "t", "m"])
+    keyed = narrow.withColumn("key", F.xxhash64("doc_id", "text"))
+    return saved(keyed.mapInArrow(over_batches(make), "doc_id long, key long, t array<float>, m array<float>"), "features")
 
-    picked = _narrow(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", F.col("y").cast("int"))  # rows + pool rows at most
-    found = sorted(picked.mapInArrow(run, "doc_id long, y int, t array<float>, m array<float>").collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["t"]))
-    known, rest = [r for r in found if r["y"] is not None], [r for r in found if r["y"] is None]
-    if len({r["y"] for r in known[3::4]}) < 2 or len({r["y"] for r in known}) < 2:  # nothing to learn from: no evidence either way
-        zero = lambda k: _constant(k)
-        return CoTrained(zero(TEXT_BINS + 9), zero(META_BINS + 1), _constant(2))
-    side = lambda rs, c, k: np.array([r[c] for r in rs], float).reshape(len(rs), k)
-    return co_train(side(known, "t", TEXT_BINS + 9), side(known, "m", META_BINS + 1), np.array([r["y"] for r in known], float), side(rest, "t", TEXT_BINS + 9), side(rest, "m", META_BINS + 1))
+
+def train(features: DataFrame, labels: DataFrame, rows: int = 4000, rounds: int = 4, most: int = 200, sure: float = 0.95) -> CoTrained:
+    """Fitted on at most `rows` labelled documents, the first by a hash of their id. All others, however many, are what the
+    views label for each other: in each round `most` of each label at most, with probability `sure`. Labels that are null,
+    other than 0 or 1, or contradict each other are left out, and of the rows of a repeated id the first by key is taken."""
+    good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("y2")).where("y = y2").select("doc_id", "y")
+    order = F.xxhash64("doc_id", F.lit(17))
+    some = features.groupBy("doc_id").agg(F.min("key").alias("key")).join(good, "doc_id").orderBy(order, "doc_id").limit(rows)
+    some = saved(some.select("doc_id", "key", "y"), "sample")
+    found = features.join(F.broadcast(some.select("key", "y")), "key").dropDuplicates(["key"]).select("key", "y", "t", "m").collect()  # `rows` rows at most
+    found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["key"])), r["key"]))
+    y = np.array([r["y"] for r in found], float)
+    if any(len(set(y[f])) < 2 for f in folds(len(y))):  # nothing to learn from: no evidence either way
+        return CoTrained(_constant(TEXT_BINS + 9), _constant(META_BINS + 1), _constant(2))
+    t, m = (np.array([r[v] for r in found], float) for v in ("t", "m"))
+    pool = features.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti")
+    return co_train(t, m, y, lambda views, learned: surest(pool, views, learned, most, sure), rounds)
 
 
 def _constant(k: int) -> Logistic:
@@ -148,23 +215,29 @@ def _constant(k: int) -> Logistic:
     return out
 
 
-def score(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
-    """Per row of docs: doc_id, p_text, p_meta, p_quality, kept (p_quality >= threshold), by whole texts.
+def score(features: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
+    """Per row of features: doc_id, p_text, p_meta, p_quality, kept (p_quality >= threshold), by whole texts.
 
     Null or empty text has the features of no words; null source, language and length are values of their own. Without two
-    classes of labels to learn from, every probability is one half and every row is kept. Null ids and repeated rows each
-    keep their row; an empty table gives none; other columns aren't read.
+    classes of labels to learn from, every probability is one half and every row is kept. A probability equal to the threshold
+    keeps its row. Null ids and repeated rows each keep their row; an empty table gives none; other columns aren't read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast(features.sparkSession, model)  # some thousand numbers
 
     def make():
         known = shared.value
 
         def step(b: pa.RecordBatch):
-            a, m, both = known.log_odds(*_views(b))
+            a, m, both = known.log_odds(_matrix(b, "t"), _matrix(b, "m"))
             p = [1 / (1 + np.exp(-np.clip(v, -500, 500))) for v in (a, m, both)]
             yield pa.record_batch([b.column("doc_id"), *map(pa.array, p), pa.array(p[2] >= threshold)], names=["doc_id", "p_text", "p_meta", "p_quality", "kept"])
 
         return step
 
-    return _narrow(docs).mapInArrow(over_batches(make), "doc_id long, p_text double, p_meta double, p_quality double, kept boolean")
+    return features.select("doc_id", "t", "m").mapInArrow(over_batches(make), "doc_id long, p_text double, p_meta double, p_quality double, kept boolean")
+
+
+def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """score() of docs by what train() learns from labels and from all of docs."""
+    features = featured(docs)
+    return score(features, train(features, labels, **options))
