@@ -1,4 +1,8 @@
-"""Operator 10, benchmark decontamination, in DataFrame functions only: a hash set of test n-grams against all windows."""
+"""Operator 10, benchmark decontamination, in DataFrame functions only: a hash set of test n-grams against all windows.
+
+Documents are scanned once: each window of words is hashed and looked up in the broadcast set of the test n-grams' hashes, and
+only windows that it holds leave the row, with their words. They are verified by word against the n-grams themselves.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,8 @@ _UPPER = "".join(map(chr, range(65, 91)))
 _SEPARATORS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 #: A word and what separates it from the next.
 _PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-#: Anchor words in one hash set. A larger benchmark is worked off in blocks of so many, a scan of the documents each.
-BLOCK = 20_000
+#: N-grams whose hashes are broadcast (8 bytes each). The set of a larger benchmark is joined as Spark sees fit, by shuffling.
+BROADCAST = 4_000_000
 
 
 def words(text: Column) -> Column:
@@ -21,40 +25,32 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(win, len, anchor, off, items): each distinct window of n words, or of an item's fewer, with its items as strings.
-
-    anchor, at off (from 0), is the window's longest word, which few other texts hold.
-    """
+    """(win, len, h, items): each distinct window of n words, or of an item's fewer, its hash, and its items as strings."""
     w = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     wins = w.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.slice("w", i, n))).alias("win"))
-    best = F.array_max(F.transform("win", lambda x, i: F.struct(F.length(x).alias("chars"), (-i).alias("back"), x.alias("word"))))
-    return wins.groupBy("win").agg(F.collect_set("item").alias("items")).select("win", F.size("win").alias("len"), best["word"].alias("anchor"), (-best["back"]).alias("off"), "items")
+    return wins.groupBy("win").agg(F.collect_set("item").alias("items")).select("win", F.size("win").alias("len"), F.xxhash64(_word_hashes("win")).alias("h"), "items")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, item_id: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """docs as keyed() gives them -> (scanned: rk, doc_id, n_words), (found: rk, start (from 1), len, items), windows that occur.
+def _word_hashes(w: str) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
-    Words that are some window's anchor are looked up in the hash set; only they leave a document's row, with the n - 1
-    words on either side, and are held against the whole windows of that anchor.
-    """
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, item_id: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """docs as keyed() gives them -> (scanned: rk, doc_id, n_words), (found: rk, start (from 1), len, items), windows that occur."""
     wins = saved(benchmark_windows(benchmark, n, item_id=item_id), "windows")
-    anchors = sorted(r[0] for r in wins.select("anchor").distinct().collect())  # as large as the test set at most
-    w = docs.select("rk", "doc_id", words(F.col("text")).alias("w"))
-    around = "transform(filter(sequence(1, size(w)), i -> element_at(w, i) IN ({set})), i -> struct(i AS k, greatest(i - {m}, 1) AS lo, slice(w, greatest(i - {m}, 1), i + {m} - greatest(i - {m}, 1) + 1) AS ctx))"
-    blocks = [anchors[i : i + BLOCK] for i in range(0, len(anchors), BLOCK)]
-    empty = "CAST(array() AS array<struct<k:int,lo:int,ctx:array<string>>>)"
-    scans = [
-        saved(w.select("rk", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(f"CASE WHEN size(w) > 0 THEN {around.format(set=', '.join(f"'{a}'" for a in b), m=n - 1)} ELSE {empty} END" if b else empty).alias("near")), "scanned")
-        for b in blocks or [[]]
-    ]
-    near = scans[0].select("rk", "near")
-    for s in scans[1:]:
-        near = near.unionByName(s.select("rk", "near"))
-    near = near.select("rk", F.explode("near").alias("x")).select("rk", "x.k", "x.lo", "x.ctx", F.expr("element_at(x.ctx, x.k - x.lo + 1)").alias("anchor"))
-    # the windows' table is small and stored: Spark broadcasts it by its size, or else shuffles both
-    at = F.col("k") - F.col("off")
-    found = near.join(wins, (near.anchor == wins.anchor) & (at >= 1) & (F.slice("ctx", F.greatest(at - F.col("lo") + 1, F.lit(1)), F.col("len")) == F.col("win")))
-    return scans[0].select("rk", "doc_id", "n_words"), found.select("rk", at.alias("start"), "len", "items")
+    lens = [r[0] for r in wins.select("len").distinct().collect()]  # n numbers at most
+    grams = wins.select(F.col("h").alias("gram"), F.col("len").alias("gram_len")).distinct()
+    if wins.count() <= BROADCAST:
+        grams = F.broadcast(grams)
+    w = docs.select("rk", "doc_id", words(F.col("text")).alias("w")).withColumn("wh", _word_hashes("w"))
+    # size(wh) rather than size(w): with one reference alone the optimizer would put wh into the lambda, to be made for each window
+    each = [f"CASE WHEN size(wh) >= {k} THEN transform(sequence(1, size(wh) - {k - 1}), i -> struct(i AS i, xxhash64(slice(wh, i, {k})) AS h, {k} AS len)) ELSE array() END" for k in lens]
+    own = "array(struct(0 AS i, 0L AS h, 0 AS len))"  # a row for the document itself
+    rows = w.select("rk", "doc_id", "w", F.explode(F.expr(f"concat({', '.join([own, *each])})")).alias("x")).select("rk", "doc_id", "w", "x.*")
+    known = rows.join(grams, (rows.h == F.col("gram")) & (rows.len == F.col("gram_len")), "left").where("i = 0 OR gram IS NOT NULL")
+    scanned = saved(known.select("rk", "doc_id", F.when(F.col("i") == 0, F.size("w")).cast("long").alias("n_words"), "i", "h", F.when(F.col("i") > 0, F.expr("slice(w, i, len)")).alias("win")), "scanned")
+    found = scanned.where("i > 0").join(wins, ["h", "win"])
+    return scanned.where("i = 0").select("rk", "doc_id", "n_words"), found.select("rk", F.col("i").alias("start"), "len", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
