@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -11,24 +12,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, released, saved
+from .common import broadcast, over_batches, released, saved
 
 #: Bins of hashed character trigrams.
 BINS = 1 << 14
-_DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
-_META = re.compile(r"(?is)<meta\b[^>]*?http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*?content\s*=\s*[\"']?([a-z]{2,3})")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DROPPED = re.compile(r"(?i)<(?:!--|(script|style|noscript|template)\b)")
+_END = {"": re.compile("-->"), **{k: re.compile(rf"(?i)</{k}\s*>") for k in ("script", "style", "noscript", "template")}}
+_TAG = re.compile(r"(?s)<[^>]*>")
+_HTML, _META = re.compile(r"(?i)<html\b"), re.compile(r"(?i)<meta\b")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})")
+_EQUIV = re.compile(r"(?i)http-equiv\s*=\s*[\"']?content-language[\"']?")
+_CONTENT = re.compile(r"(?i)content\s*=\s*[\"']?([a-z]{2,3})")
 
 
 def visible(page: str) -> str:
-    return entities.unescape(_TAG.sub(" ", _DROPPED.sub(" ", page)))
+    """A page's text: without comments, scripts and the like, then without tags. Linear in the page, whatever stays open."""
+    out, at, open_ = [], 0, set()
+    for m in _DROPPED.finditer(page):
+        kind = (m[1] or "").lower()
+        if m.start() < at or kind in open_:
+            continue
+        end = _END[kind].search(page, m.end())
+        if end is None:
+            open_.add(kind)  # nothing closes this one, nor any later one of its kind
+            continue
+        out.append(page[at : m.start()])
+        at = end.end()
+    text = " ".join([*out, page[at:]])
+    last = text.rfind(">") + 1  # what follows the last end of a tag is no tag
+    return entities.unescape(_TAG.sub(" ", text[:last]) + text[last:])
+
+
+def _tags(page: str, opener: re.Pattern) -> Iterator[str]:
+    """What stands in each tag, up to its end or the page's; a tag within another isn't looked at again."""
+    at = 0
+    while m := opener.search(page, at):
+        end = page.find(">", m.end())
+        at = len(page) if end < 0 else end
+        yield page[m.end() : at]
 
 
 def declared(page: str) -> str | None:
-    found = _DECLARED.search(page) or _META.search(page)
-    return found[1].lower() if found else None
+    """The language that the html tag declares, else that of a meta tag."""
+    for tag in _tags(page, _HTML):
+        if found := _LANG.search(tag):
+            return found[1].lower()
+    for tag in _tags(page, _META):
+        if (equiv := _EQUIV.search(tag)) and (found := _CONTENT.search(tag, equiv.end())):
+            return found[1].lower()
+    return None
 
 
 def address(url: str) -> tuple[str, str, str, str | None]:
@@ -59,24 +92,22 @@ class TextModel:
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
         smooth = counts + 0.05
-        self.log = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+        self.log = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
 
     def likelihood(self, text: str, weight: int = 60) -> np.ndarray:
         """Log likelihood by language. Trigrams overlap, so that all together count as `weight` independent ones at most."""
         t = trigrams(text)
         if not len(t):
             return np.zeros(len(self.langs))
-        return self.log[:, t].mean(axis=1) * min(len(t), weight)
+        return self.log[:, t].mean(axis=1, dtype=float) * min(len(t), weight)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_langs: int = 200) -> TextModel:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
     """Fitted on the whole texts of all labelled documents, so that every label can be answered. Each task has counts of BINS
-    numbers a language; they are summed on the executors, and at most BINS rows a language come back. More than max_langs
-    languages are an error."""
+    numbers a language; they are summed on the executors, and at most BINS rows a language come back: the model has 64 KB for
+    each language, however much text there is. Ties between languages go to the first by name."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(max_langs + 1).collect())
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # as many rows as there are languages
     if not langs:
         return TextModel(["und"], np.zeros((1, BINS)))
 
@@ -113,9 +144,8 @@ def identify(pages: DataFrame, model: TextModel, trust: float = 0.9, strength: f
     and url leave the other evidence, and without any the overall prior; a tie goes to the first language. Null ids and
     repeated rows each keep their row; an empty table gives none; other columns aren't read.
     """
-    sc = pages.sparkSession.sparkContext
     langs, n = model.langs, len(model.langs)
-    shared = sc.broadcast(model)
+    shared = broadcast(pages.sparkSession, model)  # 64 KB a language
 
     def said(values: list[str | None]) -> np.ndarray:
         out = np.zeros((len(values), n))
