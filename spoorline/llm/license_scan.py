@@ -39,6 +39,49 @@ SENTENCES = {
     "gpl-see": "see the gnu general public license for more details",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "mpl-2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "apache-2-title": "apache license version 2 0 january 2004",
+    "apache-2-grant": "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+    "mit-liable": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mit-0-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "bsd-university": "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-liable": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "gpl-3-title": "gnu general public license version 3 29 june 2007",
+    "gpl-2-title": "gnu general public license version 2 june 1991",
+    "gpl-verbatim": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "gpl-3-preamble": "the gnu general public license is a free copyleft license for software and other kinds of works",
+    "gpl-2-preamble": "the licenses for most software are designed to take away your freedom to share and change it",
+    "lgpl-2-1-title": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl-2-1-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-3-title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl-3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "agpl-3-title": "gnu affero general public license version 3 19 november 2007",
+    "agpl-3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-see": "see the gnu affero general public license for more details",
+    "mpl-2-title": "mozilla public license version 2 0",
+    "epl-2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl-1": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib-origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "zlib-altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    "zlib-notice": "this notice may not be removed or altered from any source distribution",
+    "boost-short": "distributed under the boost software license version 1 0",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "wtfpl-title": "do what the fuck you want to public license",
+    "unlicense-free": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "cc-by-4-work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-4-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-4-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd-4-work": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc-by-nc-sa-4-work": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc-by-nc-nd-4-work": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+    "cc0-1-waived": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "cc-by-4": "licensed under cc by 4 0",
     "cc-by-sa-4": "licensed under cc by sa 4 0",
     "cc-by-nc-4": "licensed under cc by nc 4 0",
@@ -48,22 +91,73 @@ SENTENCES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
 }
+#: Licences that a line "SPDX-License-Identifier: name" may name, fixed values.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0",
+    "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+)
 #: Ordered rules: at each place the first that matches wins, and takes its sentences.
 RULES = [
+    ("Apache-2.0", ("apache-2-title", "apache-2-grant")),
+    ("Apache-2.0", ("apache-2-title",)),
     ("Apache-2.0", ("apache-2-the", "apache-2-use", "apache-2-copy", "apache-2-unless", "apache-2-see")),
     ("Apache-2.0", ("apache-2-the", "apache-2-use", "apache-2-copy")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-university")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-name")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-warranty", "bsd-liable")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-university")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liable")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-1-Clause", ("bsd-grant", "bsd-source")),
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liable")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("X11-like", ("mit-grant",)),
+    ("MIT-0", ("mit-0-grant", "mit-warranty", "mit-liable")),
+    ("MIT-0", ("mit-0-grant",)),
+    ("0BSD", ("0bsd-grant", "isc-warranty")),
+    ("0BSD", ("0bsd-grant",)),
     ("ISC", ("isc-grant", "isc-warranty")),
     ("0BSD-like", ("isc-grant",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-2.0-or-later", ("gpl-2-free", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl-2-free",)),
+    ("GPL-3.0-only", ("gpl-3-title", "gpl-verbatim", "gpl-3-preamble")),
+    ("GPL-3.0-only", ("gpl-3-title",)),
+    ("GPL-3.0-only", ("gpl-3-preamble",)),
+    ("GPL-2.0-only", ("gpl-2-title", "gpl-verbatim", "gpl-2-preamble")),
+    ("GPL-2.0-only", ("gpl-2-title",)),
+    ("LGPL-2.1-or-later", ("lgpl-2-1-free", "lgpl-hope", "lgpl-see")),
+    ("LGPL-2.1-or-later", ("lgpl-2-1-free",)),
+    ("LGPL-2.1-only", ("lgpl-2-1-title", "gpl-verbatim")),
+    ("LGPL-2.1-only", ("lgpl-2-1-title",)),
+    ("LGPL-3.0-or-later", ("lgpl-3-free", "gpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl-3-free",)),
+    ("LGPL-3.0-only", ("lgpl-3-title", "gpl-verbatim")),
+    ("LGPL-3.0-only", ("lgpl-3-title",)),
+    ("AGPL-3.0-or-later", ("agpl-3-free", "gpl-hope", "agpl-see")),
+    ("AGPL-3.0-or-later", ("agpl-3-free",)),
+    ("AGPL-3.0-only", ("agpl-3-title", "gpl-verbatim")),
+    ("AGPL-3.0-only", ("agpl-3-title",)),
+    ("Zlib", ("zlib-warranty", "zlib-liable", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
+    ("Zlib", ("zlib-grant",)),
+    ("EPL-2.0", ("epl-2",)),
+    ("EPL-1.0", ("epl-1",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-short",)),
+    ("WTFPL", ("wtfpl-title",)),
+    ("Unlicense", ("unlicense", "unlicense-free")),
+    ("CC-BY-4.0", ("cc-by-4-work",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-work",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-work",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4-work",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4-work",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4-work",)),
+    ("CC0-1.0", ("cc0-1-waived",)),
+    ("MPL-2.0", ("mpl-2-title",)),
     ("MPL-2.0", ("mpl-2", "mpl-2-copy")),
     ("MPL-2.0", ("mpl-2",)),
     ("Apache-2.0", ("apache-2-short",)),
@@ -81,11 +175,14 @@ RULES = [
     ("Unlicense", ("unlicense",)),
     ("Proprietary", ("reserved",)),
 ]
+RULES += [(name, (f"spdx-{name}",)) for name in SPDX]
 #: Licences that forbid commercial use or derivation, or keep all rights.
-RESTRICTED = {"CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "Proprietary"}
+RESTRICTED = {"CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "Proprietary"}
+#: What a licence's own notice of copyright may say too: it counts where no other licence is found.
+ALONE = "Proprietary"
 #: One of these is in every known sentence; a text without any has none. Each lies within a word, so that spaces and line
 #: breaks between words don't matter in texts that aren't in normal form.
-TRIGGERS = ("licen", "permission", "permitted", "warrant", "redistribution", "unencumbered", "copyright", "reserved", "mpl", "disclaims")
+TRIGGERS = ("licen", "permission", "permitted", "warrant", "redistribution", "unencumbered", "copyright", "reserved", "mpl", "disclaims", "liable", "misrepresented", "altered", "waived", "advertising", "compile")
 _PIECE_END = re.compile(r"[.!?;:](?=\s|$)|\n")
 _NOT_WORD = re.compile(r"[^0-9a-z]+")
 
@@ -95,6 +192,9 @@ def normal(sentence: str) -> str:
     return _NOT_WORD.sub(" ", sentence.lower()).strip()
 
 
+SENTENCES |= {f"spdx-{name}": f"spdx license identifier {normal(name)}" for name in SPDX}
+
+
 @cache
 def _known() -> tuple[dict[str, str], set[str]]:
     """Known sentences, and the beginnings of them by whole words."""
@@ -134,7 +234,7 @@ def sentence_ids(text: str) -> list[tuple[int, str]]:
 
 
 def matches(ids: list[str]) -> list[str]:
-    """Licences in order of their place; a known sentence that no rule takes gives none."""
+    """Licences in order of their place; a known sentence that no rule takes gives none, and ALONE beside others neither."""
     out, i = [], 0
     while i < len(ids):
         for name, rule in RULES:
@@ -144,7 +244,7 @@ def matches(ids: list[str]) -> list[str]:
                 break
         else:
             i += 1
-    return out
+    return [x for x in out if x != ALONE] or out
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
