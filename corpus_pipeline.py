@@ -13,6 +13,7 @@ from spoorline.llm.decontaminate import decontaminate
 from spoorline.llm.jaccard_join import keep_one
 from spoorline.llm.line_dedup import without_repeats
 from spoorline.llm.packing import pack
+from spoorline.llm.queries import MIXTURE
 from spoorline.llm.quality_rules import keep_good
 
 
@@ -38,7 +39,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: what is left, in sequences of 1024 tokens."""
-    return pack(docs)
+    return pack(docs, alpha=MIXTURE)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", benchmark), ("packing", packing)]

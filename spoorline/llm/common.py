@@ -15,14 +15,14 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder of the public vocabulary files; only the default of a parameter.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session, as in tests, gets one of
+    its own, and a cluster an error: executors would each write to their own disk."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spoorline-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

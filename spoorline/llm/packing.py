@@ -16,16 +16,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import path
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, released, saved
+from .common import released, saved
 
 #: The regular expression of the byte-level vocabularies, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Rounds whose services one task numbers.
-ROUNDS = 1024
+#: Rounds whose services one task numbers, and services that one task makes.
+ROUNDS, SERVICES = 1024, 1 << 16
 
 
 @cache
@@ -102,21 +103,27 @@ def tokenized(docs: DataFrame, ranks: str, model: str, end_id: int, text: str, d
     return narrow.mapInArrow(released(run), "part int, seq long, doc_id long, queue string, before long, n long, ids binary")
 
 
-def services(totals: DataFrame, targets: dict[str, float] | None, window: int, quantum: int) -> tuple[DataFrame, DataFrame]:
+def services(totals: DataFrame, targets: dict[str, float] | None, alpha: float, window: int, quantum: int) -> tuple[DataFrame, DataFrame]:
     """totals: queue, total -> (queues: queue, total, rate, step; services: queue, j, lo, hi, g0 (place among all tokens))."""
+    spark = totals.sparkSession
     if targets:
-        given = totals.sparkSession.createDataFrame([(str(q), float(w)) for q, w in targets.items()], "queue string, weight double")
-        rest = min(targets.values())
-        weighed = totals.join(F.broadcast(given), "queue", "left").fillna(rest, ["weight"])  # as many rows as the caller names
+        given = spark.createDataFrame([(str(q), float(w)) for q, w in targets.items()], "queue string, weight double")
+        weighed = totals.join(F.broadcast(given), "queue", "left").fillna(float(min(targets.values())), ["weight"])  # as many rows as the caller names
     else:
-        weighed = totals.withColumn("weight", F.col("total").cast("double"))
-    whole = weighed.agg(F.sum("weight").alias("whole"))
-    queues = weighed.crossJoin(F.broadcast(whole)).select("queue", "total", (F.col("weight") / F.col("whole") * window).alias("rate"))  # one row
-    queues = saved(queues.withColumn("step", F.greatest("rate", F.lit(float(quantum)))), "queues")
+        weighed = totals.withColumn("weight", F.col("total").cast("double") ** alpha)
+    whole = weighed.agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("whole"))
+    rate = F.when(F.col("weight") > 0, F.col("weight") / F.col("whole") * window).otherwise(F.lit(float(window)))
+    queues = weighed.crossJoin(F.broadcast(whole)).select("queue", "total", "weight", rate.alias("rate"))  # one row
+    queues = queues.withColumn("step", F.greatest("rate", F.lit(float(quantum)))).withColumn("n", F.ceil(F.col("total") / F.floor("step")) + 1)
+    queues = saved(queues, "queues")
+    size = queues.agg(F.sum(F.floor(F.col("n") / SERVICES) + 1).alias("blocks"), F.max(F.when(F.col("weight") > 0, F.ceil(F.col("n") * F.col("step") / F.col("rate")))).alias("rounds")).first()
+    after = F.when(F.col("weight") > 0, F.lit(0)).otherwise(F.lit((size["rounds"] or 0) + 1))  # queues of no weight come when the others are done
     j = F.col("j")
     at = lambda k: F.least(F.floor(k * F.col("step")).cast("long"), F.col("total"))
-    each = queues.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("total") / F.floor("step")) + 1)))
-    each = each.select("queue", "j", at(j - 1).alias("lo"), at(j).alias("hi"), F.ceil(j * F.col("step") / F.col("rate") - 1e-6).alias("round")).where("hi > lo")
+    # a row for each service, made by many tasks: first a row for each SERVICES of them
+    blocks = queues.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / SERVICES)))).repartition(max(1, min(int(size["blocks"] or 1), 4096)), "queue", "b")
+    each = blocks.withColumn("j", F.explode(F.sequence(F.col("b") * SERVICES + 1, F.least((F.col("b") + 1) * SERVICES, F.col("n") + 1))))
+    each = each.select("queue", "j", at(j - 1).alias("lo"), at(j).alias("hi"), (F.ceil(j * F.col("step") / F.col("rate") - 1e-6) + after).alias("round")).where("hi > lo")
     each = saved(each.withColumn("block", F.floor(F.col("round") / ROUNDS)), "services")
     blocks = each.groupBy("block").agg(F.sum(F.col("hi") - F.col("lo")).alias("size"))
     blocks = blocks.select("block", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -129,12 +136,13 @@ def services(totals: DataFrame, targets: dict[str, float] | None, window: int, q
 def pack(
     docs: DataFrame,
     targets: dict[str, float] | None = None,
+    alpha: float = 1.0,
     length: int = 1024,
     window: int = 64 * 1024,
     quantum: int = 1024,
     end_id: int = 0,
-    ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken",
-    model: str = f"{TOKENIZERS}/byte_bpe_50k.json",
+    ranks: str = path("byte_bpe_50k.tiktoken"),
+    model: str = path("byte_bpe_50k.json"),
     text: str = "text",
     doc_id: str = "doc_id",
     source: str = "source",
@@ -142,15 +150,16 @@ def pack(
 ) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, and with with_ids the ids.
 
-    targets: weight of each source; None takes its share of all tokens, so that all queues end together. A source that it
-    doesn't name gets the least weight named; one that runs dry leaves its share to the others, and no token is dropped.
+    targets: weight of each source. A source that they don't name gets the least weight named, one of weight 0 comes when the
+    others are done. Without targets a source weighs its tokens to the power of alpha: at 1 all queues end together, below 1
+    small sources come before their share. A queue that runs dry leaves its share to the others, and no token is dropped.
     A window is one round; its sequences hold `length` ids. Null or empty text is the end id alone. A null source is the
     queue "". Null ids and repeated rows each keep their row; an empty table gives none; other columns aren't read.
     """
     tok = saved(tokenized(docs, ranks, model, end_id, text, doc_id, source), "tokens")
     by_part = tok.groupBy("queue", "part").agg(F.sum("n").alias("sent"))
     by_part = saved(by_part.withColumn("base", F.coalesce(F.sum("sent").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "parts")
-    queues, served = services(by_part.groupBy("queue").agg(F.sum("sent").alias("total")), targets, window, quantum)
+    queues, served = services(by_part.groupBy("queue").agg(F.sum("sent").alias("total")), targets, alpha, window, quantum)
     # both tables are small and stored, so Spark broadcasts them by their size, or else shuffles
     placed = tok.select("part", "seq", "queue", "before", "n").join(by_part.select("queue", "part", "base"), ["queue", "part"]).join(queues.select("queue", "step"), "queue")
     x = F.col("base") + F.col("before")

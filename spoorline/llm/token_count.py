@@ -7,10 +7,11 @@ import re
 from functools import cache
 
 import pyarrow as pa
+from public_tokenizers import path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, over_batches, texts
+from .common import over_batches, texts
 
 SPACE = "▁"
 #: Segments whose counts a Python worker remembers; beyond, it forgets the older half. Bounds memory, not results.
@@ -99,7 +100,7 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
-def count_tokens(docs: DataFrame, model: str = f"{TOKENIZERS}/piece_bpe_32k.model", limit: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def count_tokens(docs: DataFrame, model: str = path("piece_bpe_32k.model"), limit: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Whole texts, without begin or end tokens. Null or empty text: 0 bytes, 0 tokens. A null id stays null, repeated
