@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 #: Modules that come with the runtime: fixed values.
 CORE_MODULES = (
-    "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https "
-    "inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib"
+    "assert buffer child_process cluster crypto dgram dns domain events fs fs/promises http https net os path punycode querystring readline stream string_decoder timers tls tty url util v8 vm zlib"
 ).split()
 _ROOT = r"^((?:.*/)?node_modules/(?:@[^/]+/[^/]+|[^/@][^/]*))(?:/|$)"
 
@@ -79,3 +78,75 @@ def main_candidates(main: Column) -> Column:
 def safe_entry_name(entry: Column) -> Column:
     """Characters that file names can't hold become dashes."""
     return F.regexp_replace(entry, r'[\\/:*?"<>|]', "-")
+
+
+#: Extensions by which a path is taken for a binary or a script, and those that files to be read may have: fixed values.
+BINARY_EXTENSIONS = "exe dll so dylib bin node o a lib wasm".split()
+SCRIPT_EXTENSIONS = "js cjs mjs json sh bash zsh fish bat cmd ps1 py pl rb ts tsx jsx yaml yml toml ini cfg txt md".split()
+READABLE_EXTENSIONS = "js cjs mjs json sh bat ps1 py pl rb".split()
+INDEX_FILES = ("index.js", "index.cjs", "index.mjs")
+
+
+def extension(path: Column) -> Column:
+    """The part behind the last dot of a path's last name, in lower case; "" without one. A leading dot is none."""
+    return F.lower(F.regexp_extract(path, r"[^/.][^/]*?\.([^./]*)$", 1))
+
+
+def kind_of_path(path: Column) -> Column:
+    """binary, script or unknown, by the extension; null and blank are unknown."""
+    e = extension(F.trim(path))
+    return F.when(e.isin(BINARY_EXTENSIONS), "binary").when(e.isin(SCRIPT_EXTENSIONS), "script").otherwise("unknown")
+
+
+def is_bare_specifier(path: Column) -> Column:
+    """The name of a module rather than of a file: scoped, or one part without a readable extension. Null and "" are."""
+    bare = ~path.rlike(r"^(\./|\.\./|/)") & (F.startswith(path, F.lit("@")) | (~F.contains(path, F.lit("/")) & ~path.rlike(rf"\.({'|'.join(READABLE_EXTENSIONS)})$")))
+    return F.when(F.coalesce(path, F.lit("")) == "", True).otherwise(bare)
+
+
+def is_bare_command(path: Column) -> Column:
+    """One part without a readable extension: a command rather than a file. Null and "" are."""
+    bare = ~path.rlike(r"^(\./|\.\./)") & ~F.contains(path, F.lit("/")) & ~path.rlike(rf"\.({'|'.join(READABLE_EXTENSIONS)})$")
+    return F.when(F.coalesce(path, F.lit("")) == "", True).otherwise(bare)
+
+
+def resolved_path(path: Column) -> Column:
+    """A path relative to the package's folder without . and .. parts; null where it leads out of it, or to nothing."""
+    empty = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) == 0, F.array(F.lit(".."))).otherwise(F.when(F.element_at(done, -1) == "..", F.concat(done, F.array(F.lit("..")))).otherwise(F.slice(done, 1, F.size(done) - 1)))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    done = F.aggregate(F.split(path, "/"), empty, step)
+    return F.when((F.size(done) > 0) & (F.get(done, F.lit(0)) != "..") & ~F.startswith(path, F.lit("/")), F.array_join(done, "/"))
+
+
+def file_candidates(path: Column) -> Column:
+    """Files of the package that a requested path may mean, in order: itself, then without an extension with each readable one,
+    and the index files below it."""
+    p = resolved_path(path)
+    below = [F.concat(p, F.lit(f"/{i}")) for i in INDEX_FILES]
+    return F.when(p.isNull(), F.array().cast("array<string>")).when(extension(p) == "", F.array(p, *[F.concat(p, F.lit(f".{e}")) for e in READABLE_EXTENSIONS], *below)).otherwise(F.array(p, *below))
+
+
+def cleaned_paths(paths: Column) -> Column:
+    """Requested paths without blanks at the ends, without one leading package/ (after ./ too), without empty ones, each once."""
+    trimmed = F.transform(F.filter(paths, lambda p: p.isNotNull()), lambda p: F.trim(p))
+    own = F.transform(trimmed, lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^(?:\./)?package/+(.+)$", 1), F.lit("")), p))
+    return F.coalesce(F.array_distinct(F.filter(own, lambda p: p != "")), F.array().cast("array<string>"))
+
+
+#: Methods that values of the language itself have: fixed values.
+INSTANCE_METHODS = (
+    "at concat copyWithin entries every fill filter find findIndex findLast findLastIndex flat flatMap forEach includes indexOf join keys lastIndexOf map pop reduce reduceRight reverse shift "
+    "slice some sort toLocaleString toReversed toSorted toSpliced toString values with resize transfer valueOf getBigInt64 getBigUint64 getFloat16 getFloat32 getFloat64 getInt16 getInt32 getInt8 "
+    "getUint16 getUint32 getUint8 setBigInt64 setBigUint64 setFloat16 setFloat32 setFloat64 setInt16 setInt32 setInt8 setUint16 setUint32 setUint8 anchor big blink bold charAt charCodeAt "
+    "codePointAt endsWith fixed fontcolor fontsize isWellFormed italics localeCompare match matchAll normalize padEnd padStart repeat replace replaceAll search small split startsWith strike sub "
+    "substr substring sup toLocaleLowerCase toLocaleUpperCase toLowerCase toUpperCase toWellFormed trim trimEnd trimStart toJSON hasOwnProperty isPrototypeOf next return throw then push splice "
+    "unshift clear delete get getOrInsert getOrInsertComputed has set add difference intersection isDisjointFrom isSubsetOf isSupersetOf symmetricDifference union catch finally compile exec test"
+).split()
+
+
+def is_instance_method(name: Column) -> Column:
+    return name.isin(INSTANCE_METHODS)

@@ -5,16 +5,42 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written and read again: its lineage ends, and an executor that is lost takes nothing with it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, and a cluster an error: executors would
+    each write to their own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spoorline-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/spoorline/{uuid.uuid4().hex}/{name}"
+    return folder.rstrip("/")
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path that nothing is at yet."""
+    return f"{shared_folder(spark)}/spoorline/{uuid.uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read again: its lineage ends, and an executor that is lost takes nothing with it."""
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "stored_at", None):
+            delete(t.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.content import SECURITY
+
 EV = """ev AS (SELECT user_id // 5 AS pkg, CAST(row_number() OVER (PARTITION BY user_id // 5 ORDER BY ts, event_id) - 1 AS BIGINT) AS idx, event_id, user_id, event_type,
   CASE event_type WHEN 'click' THEN 'fs.readFile' WHEN 'view' THEN 'os.hostname' WHEN 'purchase' THEN 'https.request' WHEN 'signup' THEN 'child_process.exec' ELSE 'misc.noop' END AS qn,
   CASE WHEN user_id % 5 = 0 THEN 'package/src/f' || user_id || '.js' ELSE 'package/node_modules/p' || (user_id % 7) || '/f' || user_id || '.js' END AS file,
@@ -97,10 +99,10 @@ SELECT pkg, chain, idx, arg_min(confidence, rank) AS confidence FROM every GROUP
     "q_fingerprint_groups": f"""WITH {EV}, f AS (SELECT pkg, user_id, line, sha256(string_agg(qn, chr(30) ORDER BY idx)) AS fingerprint, count(*) AS n FROM ev GROUP BY ALL)
 SELECT fingerprint, count(*) AS chains, max(n) AS length, min(user_id) AS first_user FROM f GROUP BY fingerprint""",
     "q_reach_forward": f"""WITH RECURSIVE {ARCS}, data AS (SELECT DISTINCT g, src, dst FROM arc WHERE label <> 'CFG'),
-  walk AS (SELECT DISTINCT g, src AS v, CAST(0 AS BIGINT) AS depth FROM data WHERE src % 10 = 3 UNION SELECT d.g, d.dst, w.depth + 1 FROM walk w JOIN data d ON d.g = w.g AND d.src = w.v WHERE w.depth < 40)
+  walk AS (SELECT DISTINCT g, src AS v, CAST(0 AS BIGINT) AS depth FROM arc WHERE label = 'Object_Data' UNION SELECT d.g, d.dst, w.depth + 1 FROM walk w JOIN data d ON d.g = w.g AND d.src = w.v WHERE w.depth < 40)
 SELECT g, v, min(depth) AS depth FROM walk GROUP BY ALL""",
     "q_reach_backward_barrier": f"""WITH RECURSIVE {ARCS}, data AS (SELECT DISTINCT g, src, dst FROM arc WHERE label <> 'CFG'), bar AS (SELECT DISTINCT src AS v FROM data WHERE src % 10 = 7),
-  walk AS (SELECT g, dst AS v FROM data WHERE dst % 10 = 3 AND dst NOT IN (SELECT v FROM bar) UNION SELECT d.g, d.src FROM walk w JOIN data d ON d.g = w.g AND d.dst = w.v WHERE d.src NOT IN (SELECT v FROM bar))
+  walk AS (SELECT g, dst AS v FROM arc WHERE label = 'Object_Data' AND dst NOT IN (SELECT v FROM bar) UNION SELECT d.g, d.src FROM walk w JOIN data d ON d.g = w.g AND d.dst = w.v WHERE d.src NOT IN (SELECT v FROM bar))
 SELECT DISTINCT g, v FROM walk""",
     "q_components": f"WITH {SLICE} SELECT g, v, component FROM comp",
     "q_component_order": f"""WITH {SLICE}, rep AS (SELECT c.g, c.component, arg_min(c.v, (CASE WHEN f.v IS NULL THEN 1 ELSE 0 END) * 1000000000000 + (c.v % 37) * 1000000000 + c.v) AS v FROM comp c LEFT JOIN flagged f ON f.g = c.g AND f.v = c.v GROUP BY ALL),
@@ -109,7 +111,7 @@ SELECT DISTINCT g, v FROM walk""",
   suc AS (SELECT w.g, w.component, array_to_string(list_sort(list(DISTINCT r.component)), ',') AS successors FROM walk w JOIN rep r ON r.g = w.g AND r.v = w.v WHERE r.component <> w.component GROUP BY ALL)
 SELECT r.g, r.component, r.v, r.v % 37 AS cfg_order, coalesce(s.successors, '') AS successors FROM rep r LEFT JOIN suc s ON s.g = r.g AND s.component = r.component""",
     "q_nearest_flagged": f"""WITH RECURSIVE {ARCS}, a AS (SELECT DISTINCT g, src, dst FROM arc), fl AS (SELECT DISTINCT g, dst AS v FROM arc WHERE dst % 5 = 1),
-  walk AS (SELECT DISTINCT g, src AS origin, src AS v, true AS go FROM arc WHERE src % 10 = 4
+  walk AS (SELECT DISTINCT g, src AS origin, src AS v, true AS go FROM arc
     UNION SELECT w.g, w.origin, a.dst, NOT EXISTS (SELECT 1 FROM fl WHERE fl.g = a.g AND fl.v = a.dst) AND a.dst <> w.origin FROM walk w JOIN a ON a.g = w.g AND a.src = w.v WHERE w.go)
 SELECT DISTINCT w.g, w.origin, w.v FROM walk w JOIN fl ON fl.g = w.g AND fl.v = w.v WHERE w.v <> w.origin""",
     "q_common_ancestor": f"""WITH RECURSIVE {ARCS}, ends AS (SELECT DISTINCT g, dst AS v FROM arc), pair AS (SELECT * FROM (SELECT g, v AS a, lead(v) OVER (PARTITION BY g ORDER BY v) AS b FROM ends) WHERE b IS NOT NULL),
@@ -131,16 +133,19 @@ SELECT source, severity, severity = 2 AS malicious, CASE WHEN severity = 2 THEN
   gone AS (SELECT DISTINCT user_id, line FROM e WHERE event_type <> 'purchase'), left_ AS (SELECT DISTINCT e.user_id, e.line FROM e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = e.user_id AND g.line = e.line)),
   l AS (SELECT user_id, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS ids FROM left_ GROUP BY user_id)
 SELECT r.pkg, r.user_id, CASE WHEN r.judgement = 'undetermined' AND l.ids IS NULL THEN 'benign' ELSE r.judgement END AS judgement, coalesce(l.ids, '') AS ids FROM r LEFT JOIN l ON l.user_id = r.user_id""",
-    "q_reconcile": """SELECT coalesce(f.conv_id, l.conv_id) AS conv_id, coalesce(CASE WHEN length(l.text) % 2 = 0 THEN l.role END, f.role) AS role, coalesce(length(l.text), length(f.text)) AS chars
-FROM (SELECT * FROM conversations WHERE turn = 0) f FULL JOIN (SELECT * FROM conversations WHERE turn = 3) l ON l.conv_id = f.conv_id""",
-    "q_text_type": """WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'p', page_id, html FROM pages UNION ALL SELECT 'e', event_id, props FROM events),
-  u AS (SELECT *, trim(text, ' ') AS x, substring(trim(text, ' '), 1, 1000) AS head, substring(text, 1, 1024) AS h FROM t)
-SELECT kind, id, CASE WHEN regexp_matches(x, '^#![^\\n]*node') THEN 'javascript' WHEN regexp_matches(x, '^#![^\\n]*(sh|bash|zsh)\\b') THEN 'shell' WHEN regexp_matches(x, '^[\\[{]') AND try_cast(x AS JSON) IS NOT NULL THEN 'json'
-  WHEN regexp_matches(head, '(?i)^(<!doctype html|<html)') THEN 'html' WHEN regexp_matches(head, '(?i)^<\\?xml') THEN 'xml'
-  WHEN regexp_matches(head, '\\b(function|const|let|var|require|module\\.exports|import|export)\\b\\s*[\\w({*''"]') THEN 'javascript' WHEN regexp_matches(head, '(?m)^\\s*(echo|export|sudo|curl|wget|chmod|cd)\\s') THEN 'shell' ELSE 'plain_text' END AS type,
-  CASE WHEN contains(h, chr(0)) OR length(regexp_replace(h, '[\\x00-\\x7F]', '', 'g')) > 0.3 * length(h) THEN 'binary' WHEN length(text) <= 5000 THEN 'inline' ELSE 'large_text' END AS tier FROM u""",
+    "q_reconcile": """WITH l AS (SELECT conv_id, max_by(role, turn) AS role, length(max_by(text, turn)) AS n FROM conversations WHERE turn > 0 GROUP BY conv_id)
+SELECT coalesce(f.conv_id, l.conv_id) AS conv_id, coalesce(CASE WHEN l.n % 2 = 0 THEN l.role END, f.role) AS role, coalesce(l.n, length(f.text)) AS chars FROM (SELECT * FROM conversations WHERE turn = 0) f FULL JOIN l ON l.conv_id = f.conv_id""",
+    "q_text_type": r"""WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'p', page_id, html FROM pages UNION ALL SELECT 'e', event_id, props FROM events
+    UNION ALL SELECT 's', event_id, CASE event_id % 7 WHEN 0 THEN '#!/usr/bin/env -S node' || chr(10) || 'x' WHEN 1 THEN ' #!/bin/dash' WHEN 2 THEN 'x' || chr(10) || ' for a in b' WHEN 3 THEN 'const a' || event_id || ' = 1' WHEN 4 THEN '<?XML ?>' WHEN 5 THEN '{"a": ' WHEN 6 THEN '#! python' END FROM events),
+  u AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x, substring(text, 1, 1000) AS head, substring(text, 1, 1024) AS h FROM t),
+  v AS (SELECT *, lower(regexp_extract(x, '^#!\s*(?:/usr/(?:local/)?bin/env\s+(?:-\S+\s+)*|/(?:usr/(?:local/)?)?bin/)(\w+)', 1)) AS i FROM u)
+SELECT kind, id, CASE WHEN i IN ('bash', 'sh', 'zsh', 'dash', 'fish') THEN 'shell' WHEN i IN ('node', 'nodejs') THEN 'javascript' WHEN i IN ('python', 'python3') THEN 'python' WHEN regexp_matches(x, '^[\[{]') AND try_cast(x AS JSON) IS NOT NULL THEN 'json'
+  WHEN regexp_matches(x, '(?i)^(?:<!doctype\s|<html[\s>])') THEN 'html' WHEN regexp_matches(x, '(?i)^<\?xml\b') THEN 'xml'
+  WHEN regexp_matches(head, '\brequire\s*\(|\bmodule\.exports\b|\bexport\s+(?:default|function|class|const|let|var)\b|\bimport\s+.+?\bfrom\s+[''"]|\b(?:const|let|var)\s+\w+\s*=|\bfunction\s+\w+\s*\(|=>\s*[{(]') THEN 'javascript'
+  WHEN regexp_matches(head, '(?m)^\s*(?:if\s+\[|for\s+\w+\s+in\b|while\s+\[|case\s+\S+\s+in\b)|^\s*\w+=\S|^\s*(?:echo|export|source|alias|eval)\s+') THEN 'shell' ELSE 'plain_text' END AS type,
+  CASE WHEN contains(h, chr(0)) OR length(regexp_replace(h, '[\x00-\x7F]', '', 'g')) > 0.3 * length(h) THEN 'binary' WHEN length(text) <= 5000 THEN 'inline' ELSE 'large_text' END AS tier FROM v""",
     "q_security_snippets": r"""WITH l AS (SELECT doc_id, len(ls) - 1 AS last, p - 1 AS line, ls[p] AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) d, unnest(range(1, len(ls) + 1)) u(p)),
-  h AS (SELECT doc_id, greatest(line - 2, 0) AS s, least(line + 2, last) AS e FROM l WHERE regexp_matches(x, '(?i)(https?://|\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b|child_process|\bexec(sync|file)?\s*\(|\bspawn(sync)?\s*\(|\beval\s*\(|new\s+function\s*\(|\brequire\s*\(|readfile|writefile|unlink|process\.env|password|passwd|secret|token|api_?key|private_?key|[a-z0-9+/]{40,}|(\\x[0-9a-f]{2}){4,}|(\\u[0-9a-f]{4}){4,})')),
+  h AS (SELECT doc_id, greatest(line - 2, 0) AS s, least(line + 2, last) AS e FROM l WHERE regexp_matches(x, '""" + SECURITY.replace("'", "''") + r"""')),
   n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM h),
   i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM n)
 SELECT doc_id, min(s) AS first, max(e) AS last, count(*) AS hits FROM i GROUP BY doc_id, k""",

@@ -177,14 +177,14 @@ def q_fingerprint_groups(spark, sf):
 @query
 def q_reach_forward(spark, sf):
     a = V.arcs(spark, sf).where(F.col("label").isin(*graph.DATA))
-    return graph.reached(a.where("src % 10 = 3").select("g", F.col("src").alias("v")), a, ["g"]).select("g", "v", F.col("depth").cast("long").alias("depth"))
+    return graph.reached(a.where("label = 'Object_Data'").select("g", F.col("src").alias("v")), a, ["g"]).select("g", "v", F.col("depth").cast("long").alias("depth"))
 
 
 @query
 def q_reach_backward_barrier(spark, sf):
     a = V.arcs(spark, sf).where(F.col("label").isin(*graph.DATA))
     barrier = a.where("src % 10 = 7").select(F.col("src").alias("v")).distinct()
-    return graph.reached(a.where("dst % 10 = 3").select("g", F.col("dst").alias("v")), a, ["g"], backward=True, barriers=barrier).select("g", "v")
+    return graph.reached(a.where("label = 'Object_Data'").select("g", F.col("dst").alias("v")), a, ["g"], backward=True, barriers=barrier).select("g", "v")
 
 
 def _sliced(spark, sf):
@@ -211,7 +211,7 @@ def q_component_order(spark, sf):
 def q_nearest_flagged(spark, sf):
     a = V.arcs(spark, sf)
     flagged = a.where("dst % 5 = 1").select("g", F.col("dst").alias("v")).distinct()
-    sources = a.where("src % 10 = 4").select("g", F.col("src").alias("v")).distinct()
+    sources = a.select("g", F.col("src").alias("v")).distinct()
     return graph.nearest_flagged(sources, a, flagged, ["g"]).select("g", "origin", "v")
 
 
@@ -294,7 +294,7 @@ def q_sanitize_report(spark, sf):
 def q_reconcile(spark, sf):
     c = V.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
     first = c.where("turn = 0").select("conv_id", "role", "chars")
-    last = c.where("turn = 3").select("conv_id", F.when(F.col("chars") % 2 == 0, F.col("role")).alias("role"), "chars")
+    last = c.where("turn > 0").groupBy("conv_id").agg(F.max_by(F.struct("role", "chars"), "turn").alias("l")).select("conv_id", F.when(F.col("l.chars") % 2 == 0, F.col("l.role")).alias("role"), "l.chars")
     return verdict.reconciled(first, last, ["conv_id"], ["role", "chars"])
 
 
@@ -304,7 +304,10 @@ def q_text_type(spark, sf):
     p = V.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("p").alias("kind"), F.col("html").alias("text"))
     e = V.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.lit("e").alias("kind"), F.col("props").alias("text"))
     t = F.col("text")
-    return d.unionByName(p).unionByName(e).select("kind", "id", X.text_type(t).alias("type"), X.content_tier(t).alias("tier"))
+    k = F.col("event_id") % 7
+    script = F.when(k == 0, "#!/usr/bin/env -S node\nx").when(k == 1, " #!/bin/dash").when(k == 2, "x\n for a in b").when(k == 3, F.concat(F.lit("const a"), "event_id", F.lit(" = 1"))).when(k == 4, "<?XML ?>").when(k == 5, '{"a": ').otherwise("#! python")
+    s = V.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.lit("s").alias("kind"), script.alias("text"))
+    return d.unionByName(p).unionByName(e).unionByName(s).select("kind", "id", X.text_type(t).alias("type"), X.content_tier(t).alias("tier"))
 
 
 @query
@@ -415,16 +418,6 @@ def q_model_stub(spark, sf):
     return out.select("doc_id", F.get_json_object("answer", "$.judgement").alias("judgement"), F.get_json_object("answer", "$.words").cast("long").alias("words"))
 
 
-@query
-def q_missing_graph(spark, sf):
-    """Flagged vertices joined by what a walk meets next, over data arcs and over control flow."""
-    a = V.arcs(spark, sf)
-    flagged = a.where("src % 3 = 1").select("g", F.col("src").alias("v")).distinct()
-    data = graph.nearest_flagged(flagged, a.where(F.col("label").isin(*graph.DATA)), flagged, ["g"]).select("g", "origin", "v", F.lit("Data_Flow").alias("kind"))
-    control = graph.nearest_flagged(flagged, a.where("label = 'CFG'"), flagged, ["g"]).select("g", "origin", "v", F.lit("Control_Flow").alias("kind"))
-    return data.unionByName(control)
-
-
 @query
 def q_interpreted_calls(spark, sf):
     """Each package's events as a program: clicks, signups and purchases load a module into a name, errors a text; views call it."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: First bytes of binary formats, in hexadecimal: fixed values.
-MAGIC = ("7F454C46", "4D5A", "CAFEBABE", "FEEDFACE", "FEEDFACF", "CFFAEDFE", "0061736D", "504B0304")
+MAGIC = ("7F454C46", "4D5A", "CAFEBABE", "CFFAEDFE", "CEFAEDFE", "FEEDFACE", "FEEDFACF", "0061736D")
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +24,28 @@ def scripts(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").rlike(r"\.(js|cjs|mjs)$") & ~F.contains("path", F.lit("node_modules")))
 
 
+def without_modules(files: DataFrame) -> DataFrame:
+    """A package's own files: none below node_modules."""
+    return files.where(~F.concat(F.lit("/"), F.col("path")).contains("/node_modules/"))
+
+
+def rewritten(files: DataFrame, tool: Callable[[str], str], text: str = "text") -> DataFrame:
+    """files with what a tool, as a deobfuscator, makes of each text; a text that it fails on stays as it is."""
+
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else tool(x)
+        except Exception:  # one file's failure is its own
+            return x
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b[text] = b[text].map(one)
+            yield b
+
+    return files.mapInPandas(run, files.schema)
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(path, lines): text by lines; an empty list where the bytes aren't UTF-8."""
     text = F.try_validate_utf8(F.col("content").cast("string"))

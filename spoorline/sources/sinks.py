@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,13 +56,69 @@ def invalidated(cache: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def overwrite(df: DataFrame, path: str) -> DataFrame:
-    """Write beside the old table, then take its place: readers of the old files aren't cut off in the middle."""
+    """Write a new version beside the old ones, then point to it: the pointer is one small file, put in place by a rename, so that
+    readers see the old version or the new one, and a crash between leaves the old one. Versions but the last two are deleted."""
     spark: SparkSession = df.sparkSession
-    fresh = f"{path.rstrip('/')}.new"
-    df.write.mode("overwrite").parquet(fresh)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
-    return spark.read.parquet(path)
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    base = path.rstrip("/")
+    df.write.parquet(f"{base}/{version}")
+    fs, at = _files(spark, base)
+    fresh = at(f"{base}/_current.{version}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    current = at(f"{base}/_current")
+    if not fs.rename(fresh, current):  # some file systems don't rename over a file
+        fs.delete(current, False)
+        if not fs.rename(fresh, current):
+            raise OSError(f"{base}: the new version could not be put in place")
+    for old in _versions(spark, base)[:-2]:
+        fs.delete(at(f"{base}/{old}"), True)
+    return spark.read.parquet(f"{base}/{version}")
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a table written by overwrite() that its pointer names; where a crash left none, the last complete one."""
+    base = path.rstrip("/")
+    fs, at = _files(spark, base)
+    if fs.exists(at(f"{base}/_current")):
+        stream = fs.open(at(f"{base}/_current"))
+        version = bytes(stream.readAllBytes()).decode()
+        stream.close()
+    else:
+        version = next(v for v in reversed(_versions(spark, base)) if fs.exists(at(f"{base}/{v}/_SUCCESS")))
+    return spark.read.parquet(f"{base}/{version}")
+
+
+def _files(spark: SparkSession, base: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _versions(spark: SparkSession, base: str) -> list[str]:
+    fs, at = _files(spark, base)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at(base)) if s.isDirectory())
+
+
+def write_programs(programs: DataFrame, edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    """Merged function graphs as three tables."""
+    for name, t in (("programs", programs), ("edges", edges), ("nodes", nodes)):
+        t.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def report_rows(reports: DataFrame) -> DataFrame:
+    """Reports as JSON texts, without null fields."""
+    return reports.select("package_name", F.to_json(F.struct(*reports.columns)).alias("report"))
+
+
+@dataclass(frozen=True)
+class CacheOptions:
+    """Where the metadata cache is, and whether it is used."""
+
+    folder: str
+    enabled: bool = True
+
+    @staticmethod
+    def of(spark: SparkSession, default: str) -> CacheOptions:
+        """From spark.spoorline.cache.folder and spark.spoorline.cache.enabled."""
+        return CacheOptions(spark.conf.get("spark.spoorline.cache.folder", default), spark.conf.get("spark.spoorline.cache.enabled", "true").lower() == "true")

@@ -153,10 +153,22 @@ def test_judge_is_asked_once_and_repaired():
         asked.append(x)
         if len(asked) == 1:
             raise ConnectionError
-        return "```json\n{\"a\": 1}\n```" if x.startswith("Repair") else "not json"
+        return "```json\n{\"a\": 1}\n```" if "It can't be used: it is no JSON" in x else "not json"
 
     assert model.answer_json(judge, "q", wait=0) == '{"a": 1}' and len(asked) == 3
     assert model.answer_json(lambda _: "no", "q", wait=0) is None
+    assert model.answer_json(lambda _: '{"b": 1}', "q", wait=0, shape=model.launches_shape) is None
+    asked.clear()
+
+    def lost(x):
+        asked.append(x)
+        raise OSError("busy")
+
+    with pytest.raises(ConnectionError):
+        model.answer_json(lost, "q", wait=0)
+    assert len(asked) == 5
+    assert model.launches({"launches_node": True, "js_files": ["a", 1]}) == {"launches_node": True, "js_files": ["a"]}
+    assert model.launches({"launches_node": "yes", "js_files": ["a"]}) == {"launches_node": False, "js_files": []}
 
 
 def test_rendering(spark):
@@ -177,7 +189,7 @@ def test_sources(spark, tmp_path):
     assert got["x"].main == ["lib/x.js", "lib/x/index.js"] and got["x"].scripts == {"install": "node a.js"} and got["x"].export_paths == ["./m.mjs", "./c.cjs"] and got["x"].bin == ["./b.js"] and not got["y"].readable and got["z"].main == ["index.js"]
     (tmp_path / "t.csv").write_text('function,fs,readFile,"[""p""]",r,/app/a.js,3,4\nshort,row\nfunction,os,hostname,,,/app/b.js,x,1\ntoo,many,a,b,c,d,1,2,3\n')
     rows = artefacts.trace(spark, f"{tmp_path}/t.csv").orderBy("pos").collect()
-    assert [(r.module, r.arguments, r.line) for r in rows] == [("fs", '["p"]', 3), ("os", None, None)]
+    assert [(r.module, r.arguments, r.line) for r in rows] == [("fs", '["p"]', 3), ("os", "", None)]
     (tmp_path / "g.dot").write_text('digraph "f" {\n"1" [label = "(METHOD,f)"]\n"2" [label = "x"]\n"1" -> "2" [label = "DDG: x"]\n"1" -> "2" [label = ""]\n"2" -> "1" [label = "DDG: "]\n}\n')
     nodes, edges = graphs.dot(spark, f"{tmp_path}/g.dot")
     assert nodes.count() == 2 and sorted((r.src, r.dst, r.label) for r in edges.collect()) == [(1, 2, "CFG"), (1, 2, "DDG: x")]
