@@ -78,10 +78,10 @@ _MARKS = (
     (re.compile(r"(?ms)^(```|~~~).*?^\1[ \t]*$"), lambda m: m[0].split("\n", 1)[-1].rsplit("\n", 1)[0]),
     (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"),
     (re.compile(r"\[([^\]]+)\]\([^)]*\)"), r"\1"),
-    (re.compile(r"(?m)^\s{0,3}#{1,6}\s+(.*?)\s*#*$"), r"\1"),
-    (re.compile(r"(?m)^\s{0,3}>\s?"), ""),
-    (re.compile(r"(?m)^\s*(?:[-*+]|\d+[.)])\s+"), ""),
-    (re.compile(r"(?m)^\s{0,3}(?:[-*_]\s*){3,}$"), ""),
+    (re.compile(r"(?m)^ {0,3}#{1,6}[ \t]+(.*?)[ \t]*#*$"), r"\1"),
+    (re.compile(r"(?m)^ {0,3}> ?"), ""),
+    (re.compile(r"(?m)^[ \t]*(?:[-*+]|\d+[.)])[ \t]+"), ""),
+    (re.compile(r"(?m)^ {0,3}(?:[-*_][ \t]*){3,}$"), ""),
     (re.compile(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1"), r"\2"),
     (re.compile(r"(?<![\w*])[*_](?=\S)([^*_\n]+?)(?<=\S)[*_](?![\w*])"), r"\1"),
     (re.compile(r"`([^`\n]+)`"), r"\1"),
