@@ -177,3 +177,27 @@ def declared_types(manifest: str | None) -> list[str]:
             elif isinstance(x, list):
                 todo += x
     return found
+
+
+def judged_behaviors(uses: DataFrame, metadata: DataFrame, judge: Callable[[str], str]) -> DataFrame:
+    """(module, property, module_behavior, api_behavior): what the judge says of each module in use, by its readme and keywords, and of each
+    of its calls, by what its declaration files say too. Equal questions are asked once; unknown is null.
+
+    metadata (module, description, keywords, readme, declarations: array of path and text, types: array of paths).
+    """
+    from ..functions import declared_evidence, known
+    from .model import judged, prompt
+
+    j = uses.select("module", "property").distinct().join(metadata, "module")
+    about = [F.col("module").alias("package_name"), F.col("description"), F.col("keywords"), F.col("readme")]
+    j = j.withColumn("__m", prompt("module_functionality", F.to_json(F.struct(*about))))
+    evidence = declared_evidence("declarations", "types", "property")
+    j = j.withColumn("__a", prompt("api_behavior", F.to_json(F.struct(F.col("property").alias("method_name"), *about, evidence.alias("declaration_evidence")))))
+    j = judged(judged(j, "__m", judge, "__ma"), "__a", judge, "__aa")
+    return j.select("module", "property", known(F.get_json_object("__ma", "$.overall_functionality")).alias("module_behavior"), known(F.get_json_object("__aa", "$.api_behavior")).alias("api_behavior"))
+
+
+def with_behaviors(metadata: DataFrame, said: DataFrame) -> DataFrame:
+    """metadata (module, trusted) as enriched() takes it: module_behavior, and api_behavior as a map of properties."""
+    s = said.groupBy("module").agg(F.max("module_behavior").alias("module_behavior"), F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("api_behavior").isNotNull(), F.struct("property", "api_behavior"))))).alias("api_behavior"))
+    return metadata.join(s, "module", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .model import Judge, judged, prompt
 from .verdict import said
 
 #: Fields of a judgement that a judge of places is shown: fixed names.
@@ -59,3 +60,33 @@ def validated(answers: DataFrame, allowed: DataFrame, by: list[str]) -> DataFram
 def payload(package: Column, entry: Column, synthesis: Column, components: Column) -> Column:
     """What the judge of places is asked, as JSON."""
     return F.to_json(F.struct(package.alias("package"), entry.alias("entry"), synthesis.alias("synthesis"), components.alias("components")))
+
+
+ANSWER = "summary string, locations array<struct<file:string,code:string,reason:string>>"
+
+
+def localized(components: DataFrame, reports: DataFrame, slices: DataFrame, by: list[str], judge: Judge) -> DataFrame:
+    """(by, summary, locations): the places that the judge names, in files that it was shown. components (by, component, judgement, explanation, reason,
+    key_evidence, sliced_code), reports (by and what synthesis_view() shows), slices (by, component, file, code)."""
+    rel = relevant_components(components, by)
+    shown = component_view(rel, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("component", "judgement", "explanation", "key_evidence", "sliced_code"))).alias("components"))
+    view = [c for c in synthesis_view(reports, by).columns if c not in by]
+    j = shown.join(synthesis_view(reports, by), by, "left")
+    asked = j.select(*by, prompt("locate", F.to_json(F.struct(F.struct(*view).alias("synthesis"), "components"))).alias("__p"))
+    texts = slice_texts(slices.join(rel.select(*by, "component"), [*by, "component"], "left_semi"), by)
+    return _answers(asked, texts, by, judge)
+
+
+def localized_in_files(entries: DataFrame, files: DataFrame, evidence: DataFrame, by: list[str], judge: Judge) -> DataFrame:
+    """The same for entries (by, file, reason) that were judged by their files: those served (by, file, text) that are the entry's or cited."""
+    texts = relevant_files(files, entries, evidence, by)
+    shown = texts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", "text")))).alias("files"))
+    cited = evidence.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("claim", "file"))).alias("key_evidence"))
+    j = entries.join(shown, by).join(cited, by, "left")
+    asked = j.select(*by, prompt("locate_in_files", F.to_json(F.struct(F.col("file").alias("entry"), "reason", "key_evidence", "files"))).alias("__p"))
+    return _answers(asked, texts, by, judge)
+
+
+def _answers(asked: DataFrame, texts: DataFrame, by: list[str], judge: Judge) -> DataFrame:
+    out = judged(asked, "__p", judge, "__a").where("__a IS NOT NULL").withColumn("__a", F.from_json("__a", ANSWER))
+    return validated(out.select(*by, "__a.summary", "__a.locations"), texts, by)

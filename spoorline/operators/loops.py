@@ -8,6 +8,7 @@ read_files with paths, or final with its verdict.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +24,7 @@ from .model import Judge, answered, asked
 SHELL, FALLBACK, REREAD = (2, 5, 8), (3, 5, 12), 3
 #: What a shell command's judge isn't shown, as others read it: fixed values.
 PROGRAMS = ("js", "cjs", "mjs")
+_NODE = re.compile(r"\bnode\s+((?:[\w./-]+\.(?:js|cjs|mjs)\s*)+)")
 LABELS, JUDGEMENTS = ("benign", "warning", "malicious"), ("benign", "malicious", "undetermined")
 
 
@@ -316,8 +318,17 @@ def _rows(df: DataFrame, one: Callable[[dict], tuple], schema: str) -> DataFrame
 
 
 def judged_commands(commands: DataFrame, judge: Judge, command: str = "command") -> DataFrame:
-    """commands (with files) with label, explanation and executed."""
-    return _rows(commands, lambda r: judge_command(judge, r[command] or "", _files(r["files"])), "label string, explanation string, executed array<string>")
+    """commands (with files) with label, explanation and executed: the script files that the judge says the command runs; where reading
+    itself fails, a warning and those that the command hands to node."""
+
+    def one(r: dict) -> tuple:
+        text = r[command] or ""
+        try:
+            return judge_command(judge, text, _files(r["files"]))
+        except Exception:  # files of another shape
+            return "warning", "", [m.strip() for m in _NODE.findall(text)]
+
+    return _rows(commands, one, "label string, explanation string, executed array<string>")
 
 
 def judged_entries(entries: DataFrame, judge: Judge, entry: str = "entry", history: str | None = None) -> DataFrame:
@@ -342,3 +353,10 @@ def reread_reports(components: DataFrame, judge: Judge, slice_: str = "slice", r
         return json.dumps(out, sort_keys=True), len(steps)
 
     return _rows(components, one, "revised string, hops int")
+
+
+def recorded_step(items: DataFrame, by: list[str], seq: str, stage: str, entry: str, result: str, words: list[str]) -> DataFrame:
+    """(by, seq, stage, entry, result, finding): a history's rows of judged items; the finding is what there is of the given texts."""
+    texts = [F.nullif(F.col(w), F.lit("")) for w in words]
+    label = F.when(F.col(result).isin(*JUDGEMENTS), F.col(result)).otherwise("warning")
+    return items.select(*by, F.col(seq).alias("seq"), F.lit(stage).alias("stage"), F.col(entry).alias("entry"), label.alias("result"), F.concat_ws("; ", *texts).alias("finding"))

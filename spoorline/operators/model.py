@@ -145,6 +145,38 @@ def verified(slices: DataFrame, by: list[str], slice_: str, judge: Judge, histor
     return out.drop("__p", *[f"__r{k}" for k in range(reports)])
 
 
+def dynamic_verdict(components: DataFrame, payload: str, judge: Judge, history: Column | None = None) -> DataFrame:
+    """components with `report`: a judgement by what was seen at run time (payload, JSON), and what the judge makes of it on a second
+    look; null where either fails. Equal payloads are judged once."""
+    first = judged(components.withColumn("__p", prompt("dynamic_report", F.col(payload), history)), "__p", judge, "__r")
+    again = F.when(F.col("__r").isNotNull(), prompt("dynamic_verify", F.to_json(F.struct(F.col(payload).alias("evidence"), F.col("__r").alias("judgement")))))
+    return judged(first.withColumn("__p", again), "__p", judge, "report").drop("__p", "__r")
+
+
+def cross_judged(components: DataFrame, by: list[str], judge: Judge) -> DataFrame:
+    """(by, report): of entries with two components or more (by, component, cfg_order, slice, report, successors) the judgement across them, with their order;
+    null where the judge fails."""
+    from .verdict import synthesis_input
+
+    payload, edges = synthesis_input(components, by)
+    e = edges.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("edges"))
+    j = payload.where("size(payload) > 1").join(e, by, "left")
+    asked_ = j.select(*by, prompt("cross_component", F.to_json(F.struct(F.col("payload").alias("components"), F.col("edges").alias("ordering")))).alias("__p"))
+    return judged(asked_, "__p", judge, "report").drop("__p")
+
+
+def node_launches(commands: DataFrame, name: str, command: str, judge: Judge) -> DataFrame:
+    """commands with launches_node and js_files, as launches() reads the answer; none where the judge fails or has no such field."""
+    p = prompt("node_execution", F.concat(F.lit("Qualified Name: "), F.col(name), F.lit("\nCommand: "), F.col(command)))
+    out = judged(commands.withColumn("__p", p), "__p", judge, "__a", shape=launches_shape)
+
+    @F.pandas_udf("launches_node boolean, js_files array<string>")
+    def read(answers: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([launches(json.loads(a) if isinstance(a, str) else None) for a in answers], columns=["launches_node", "js_files"])
+
+    return out.withColumn("__l", read("__a")).select(*commands.columns, "__l.launches_node", "__l.js_files")
+
+
 def launches(answer: object) -> dict:
     """node_execution's answer as it is used: no files where node isn't launched, texts only; not launched where it isn't a boolean."""
     a = answer if isinstance(answer, dict) else {}

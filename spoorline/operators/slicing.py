@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import eval_preview, one_line, security_hits
@@ -53,6 +53,19 @@ def positional(args: DataFrame, params: DataFrame, by: list[str], pos: str) -> D
     return params.join(args, [*by, pos], "left")
 
 
+def bound_parameters(args: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
+    """Parameters (by, pos, name, rest) with `values`, the arguments (by, pos, value) they take, each in order of pos, then value: `this` takes none
+    and is passed over, a rest parameter takes all that is left, and nothing comes after it."""
+    w = Window.partitionBy(*by).orderBy("pos")
+    p = params.where("name <> 'this'").withColumn("k", F.row_number().over(w)).withColumn("__cut", F.min(F.when(F.col("rest"), F.col("k"))).over(Window.partitionBy(*by)))
+    p = p.where("__cut IS NULL OR k <= __cut")
+    a = args.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "value"))).select(*by, "k", "value")
+    last = p.where("rest").select(*by, F.col("k").alias("__cut"))
+    a = a.join(last, by, "left").withColumn("k2", F.least("k", F.coalesce("__cut", "k")))
+    got = a.groupBy(*by, F.col("k2").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("values"))
+    return p.join(got, [*by, "k"], "left").select(*by, "pos", "name", "rest", "values")
+
+
 #: Columns of nodes that annotations are made from; those that a table lacks are null.
 NODE = {
     "node": "bigint", "name": "string", "code": "string", "file": "string", "call_type": "string", "sensitive": "boolean", "qualified_name": "string", "call_name": "string", "domain": "string", "module": "string", "property": "string",

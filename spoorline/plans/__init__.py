@@ -1,6 +1,6 @@
 """Queries over the driver's tables, and each in DuckDB's SQL."""
 
-from . import code, judgements, programs, texts  # noqa: F401
+from . import code, judgements, programs, rest, texts  # noqa: F401
 from .oracle import ORACLE_SQL
 from .queries import QUERIES, flagship
 from .registry import ORACLE_SQL as MORE_SQL

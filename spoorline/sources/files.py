@@ -46,6 +46,23 @@ def rewritten(files: DataFrame, tool: Callable[[str], str], text: str = "text")
     return files.mapInPandas(run, files.schema)
 
 
+def preprocessed(files: DataFrame, tool: Callable[[str], str] | None = None, text: str = "text") -> DataFrame:
+    """A package's own scripts as they are analysed: what the tool makes of them, with isolated evals of plain text as functions."""
+    from ..functions.javascript import evals_inlined
+
+    own = scripts(files)
+    return (rewritten(own, tool, text) if tool else own).withColumn(text, evals_inlined(text))
+
+
+def resolved(wanted: DataFrame, files: DataFrame, by: list[str], path: str = "path") -> DataFrame:
+    """wanted (by, path) with `file`, the first of the files (by, path) that its path may mean, and its text; null without one."""
+    from ..functions import file_candidates
+
+    c = wanted.select(*by, path).distinct().select(*by, path, F.posexplode(file_candidates(F.col(path))).alias("__k", "file"))
+    found = c.join(files.select(*by, F.col("path").alias("file"), "text"), [*by, "file"]).groupBy(*by, path).agg(F.min_by(F.struct("file", "text"), "__k").alias("f"))
+    return wanted.join(found.select(*by, path, "f.file", "f.text"), [*by, path], "left")
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(path, lines): text by lines; an empty list where the bytes aren't UTF-8."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
