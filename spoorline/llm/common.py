@@ -28,14 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_scratch: ContextVar[list[str | Broadcast] | None] = ContextVar("scratch", default=None)
+class _Scratch:
+    """Tables and broadcasts of a scratch() block; what it keeps belongs to the block around it, if there is one."""
+
+    def __init__(self, outer: _Scratch | None):
+        self.outer, self.used = outer, []
+
+
+_scratch: ContextVar[_Scratch | None] = ContextVar("scratch", default=None)
+#: Folders of this process that nothing has deleted yet.
+_left: set[str] = set()
 
 
 def broadcast(spark: SparkSession, value) -> Broadcast:
     """value, of a size that doesn't depend on the input, for all tasks. Within scratch() it is taken back at the end."""
     out = spark.sparkContext.broadcast(value)
-    if (used := _scratch.get()) is not None:
-        used.append(out)
+    if block := _scratch.get():
+        block.used.append(out)
     return out
 
 
@@ -44,27 +53,38 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/spoorline/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-    if not keep and (used := _scratch.get()) is not None:
-        used.append(folder)
+    _left.add(folder)
+    block = _scratch.get()
+    if keep and block:
+        block = block.outer
+    if block:
+        block.used.append(folder)
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _left.discard(folder)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables saved within, but for those with keep, are deleted at the end, and broadcasts taken back: Python workers live on
-    and would hold them. What goes on may read only the kept tables."""
-    token = _scratch.set(used := [])
+    and would hold them. What goes on may read only the kept tables; a block around this one deletes them at its own end."""
+    token = _scratch.set(block := _Scratch(_scratch.get()))
     try:
         yield
     finally:
         _scratch.reset(token)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in used:
-            if isinstance(folder, Broadcast):
-                folder.destroy()
-                continue
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        for x in block.used:
+            x.destroy() if isinstance(x, Broadcast) else _delete(spark, x)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all tables that this process has saved: for when no result is read any more."""
+    for folder in sorted(_left):
+        _delete(spark, folder)
 
 
 def row_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Column:

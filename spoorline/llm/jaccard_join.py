@@ -263,18 +263,12 @@ def _with_tokens(k: int):
     return over_batches(make)
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999, depth: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row of docs: rk, doc_id, class_id, set_id, n_shingles, n_links, n_text_links, class_key (never null).
-
-    set_id: the least doc_id of those with an equal shingle set. class_id: the least doc_id of all that a chain of links
-    joins. n_text_links: other sets at Jaccard >= threshold; n_links: other documents, copies counted. Null, empty or
-    blank texts have no shingle and are one another's copies. Repeated rows are copies. Null ids keep their row and
-    give way to any id in set_id and class_id; an empty table gives none; other columns aren't read.
-    """
+def _found(docs: DataFrame, threshold: float, k: int, recall: float, depth: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(scanned: rk, doc_id, set_key, size, ...; found: set_key, class_id, set_id, copies, links, docs, class_key), both kept."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
     rows = keyed(docs, text, doc_id)
-    scanned = saved(rows.mapInArrow(released(_scan(k, threshold, runs_for(recall, depth))), "rk binary, dk long, doc_id long, set_key binary, size int, sketch binary, nodes array<long>"), "scanned")
+    scanned = saved(rows.mapInArrow(released(_scan(k, threshold, runs_for(recall, depth))), "rk binary, dk long, doc_id long, set_key binary, size int, sketch binary, nodes array<long>"), "scanned", keep=True)
     classes = saved(scanned.groupBy("set_key").agg(F.min("dk").alias("dk"), F.count("*").alias("copies"), F.min("doc_id").alias("set_id")), "classes")
     sets = saved(scanned.join(classes.select("dk", "copies"), "dk").where("size > 0").select("dk", "rk", "size", "sketch", "copies", "nodes"), "sets")
     plain = sets.select("dk", "rk", "size", "sketch")
@@ -305,9 +299,22 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     links = pairs.groupBy("dk").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     roots = components(pairs.select(F.col("root").alias("a"), F.col("dk").alias("b"))).select(F.col("v").alias("dk"), "root")
     found = classes.join(links, "dk", "left").join(roots, "dk", "left").withColumn("root", F.coalesce("root", "dk"))
-    found = saved(found, "found")
+    found = saved(found, "found", keep=True)
     named = found.groupBy("root").agg(F.min("set_id").alias("class_id"))
     found = found.join(named, "root").select("set_key", "class_id", "set_id", "copies", "links", "docs", F.col("root").alias("class_key"))
+    return scanned, found
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999, depth: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row of docs: rk, doc_id, class_id, set_id, n_shingles, n_links, n_text_links, class_key (never null).
+
+    set_id: the least doc_id of those with an equal shingle set. class_id: the least doc_id of all that a chain of links
+    joins. n_text_links: other sets at Jaccard >= threshold; n_links: other documents, copies counted. Null, empty or
+    blank texts have no shingle and are one another's copies. Repeated rows are copies. Null ids keep their row and
+    give way to any id in set_id and class_id; an empty table gives none; other columns aren't read.
+    """
+    with scratch(docs.sparkSession):
+        scanned, found = _found(docs, threshold, k, recall, depth, text, doc_id)
     zero = F.lit(0).cast("long")
     return scanned.select("rk", "doc_id", "set_key", "size").join(found, "set_key").select(
         "rk",

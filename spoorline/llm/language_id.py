@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, over_batches, released, saved
+from .common import broadcast, over_batches, released, saved, scratch
 
 #: Bins of hashed character trigrams.
 BINS = 1 << 14
@@ -174,19 +174,21 @@ def identify(pages: DataFrame, model: TextModel, trust: float = 0.9, strength: f
     seen = saved(narrow.mapInArrow(over_batches(read), "page_id long, host string, domain string, suffix string, path string, declared string, like array<double>, p array<double>"), "pages")
     sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)]
     packed = F.array(*[f"s{i}" for i in range(n)])
-    by_host = saved(seen.groupBy("host", "domain", "suffix").agg(*sums), "hosts")  # map-side first: a hot host is a row a task
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
-    by_domain = saved(by_host.groupBy("domain").agg(*again).select("domain", packed.alias("of_domain")), "domains")
-    by_suffix = saved(by_host.groupBy("suffix").agg(*again).select("suffix", packed.alias("of_suffix")), "suffixes")
-    whole = by_host.agg(*again).first()
+    with scratch(pages.sparkSession):
+        by_host = saved(seen.groupBy("host", "domain", "suffix").agg(*sums), "hosts")  # map-side first: a hot host is a row a task
+        by_domain = saved(by_host.groupBy("domain").agg(*again).select("domain", packed.alias("of_domain")), "domains")
+        by_suffix = saved(by_host.groupBy("suffix").agg(*again).select("suffix", packed.alias("of_suffix")), "suffixes")
+        whole = by_host.agg(*again).first()
+        known = by_host.select("host", "domain", "suffix", packed.alias("of_host")).join(by_domain, "domain").join(by_suffix, "suffix")
+        known = saved(known.select("host", "of_host", "of_domain", "of_suffix"), "known", keep=True)
     overall = np.array([x or 0.0 for x in whole]) if whole else np.zeros(n)
     path_rows = seen.where(F.col("path").isin(langs)).groupBy("path").agg(*sums).collect()  # a row for each language at most
     on_path = {r["path"]: np.array(r[1:]) for r in path_rows}
     prior = (overall + 1) / (overall + 1).sum()
     path_log = {k: np.log((v + 0.5) / (overall + 0.5 * (n + 1))) for k, v in on_path.items()}
 
-    known = by_host.select("host", "domain", "suffix", packed.alias("of_host")).join(by_domain, "domain").join(by_suffix, "suffix")
-    joined = seen.join(saved(known.select("host", "of_host", "of_domain", "of_suffix"), "known"), "host")
+    joined = seen.join(known, "host")
 
     def fuse():
         def step(b: pa.RecordBatch):

@@ -732,3 +732,37 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
     cut = {r.doc_id: r.text for r in decontaminate(odd, bench, remove="spans").collect()}
     assert cut[8] == "one line that is shared by three documents here\n8" and cut[3] is None and len(cut[6]) > 1000
     assert report(empty, bench).count() == 0 and report(odd, bench.where("false")).where("contaminated").count() == 0
+
+
+# all
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    """Texts of some megabytes: many words, one word, many lines, many blanks; the first twice."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(5000)]
+    many = " ".join(r.choice(words) for _ in range(200_000))
+    texts = [many, many, "x" * 100_000, "line of some twenty characters and more\n" * 10_000, "\n" * 200_000, " " * 200_000, "ab " * 50_000]
+    return spark.createDataFrame([(i, x, f"s{i % 2}", "en", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, source string, lang string, n_chars long").repartition(4)
+
+
+def test_very_long_texts(spark, long_texts):
+    d = long_texts
+    n = {r.doc_id: r for r in d.select("doc_id", F.octet_length("text").alias("b")).collect()}
+    assert {(r.doc_id, r.n_bytes) for r in count_tokens(d).collect()} == {(i, x.b) for i, x in n.items()}
+    cut = {r.doc_id: r for r in remove_repeats(d).collect()}
+    assert all(cut[i].n_removed == n[i].b for i in range(7)) and cut[0].n_spans == 1
+    assert sum(r.length for r in pack(d).collect()) == sum(r.doc_tokens for r in pack(d).dropDuplicates(["doc_id"]).collect())
+    assert {r.doc_id: r.n_lines for r in dedup_lines(d).collect()}[4] == 200_001
+    q = {r.doc_id: r for r in quality_rules.judge(d).collect()}
+    assert q[0].n_words == 200_000 and q[2].longest == 100_000 and q[3].n_dup_lines == 9_999 and q[6].base_failed
+    assert quality_classifier.classify(d, spark.createDataFrame([], "doc_id long, quality int")).count() == 7
+    j = {r.doc_id: r for r in jaccard_classes(d).collect()}
+    assert j[1].class_id == 0 and j[5].class_id == j[4].class_id == 4 and j[6].n_links == 0
+    assert license_scan.scan_licenses(d).where("n_known > 0").count() == 0
+    bench = spark.createDataFrame([(1, "ab " * 12), (2, "line of some twenty characters and more line of some")], "item_id long, text string")
+    hit = {r.doc_id: r for r in report(d, bench).collect()}
+    assert hit[6].n_hit == 50_000 and hit[3].n_hit == 69_996 and not hit[0].contaminated and hit[2].n_words == 1
+    pages = d.select(F.col("doc_id").alias("page_id"), F.lit("http://x.de/").alias("url"), F.concat(F.lit("<html lang=de>"), F.repeat(F.lit("<!--"), 100_000), "text").alias("html"))
+    assert language_id.identify(pages, language_id.train(d)).count() == 7
