@@ -148,10 +148,17 @@ def representatives(members: DataFrame, lines: DataFrame, seeds: DataFrame, by:
     return m.groupBy(*by, "component").agg(F.min(key).alias("k")).select(*by, "component", "k.v", F.coalesce("k.line", F.lit(0)).alias("cfg_order"))
 
 
+def toward(arcs: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """The arcs that lead on to a target (by, v): one walk backward from all of them at once tells which do. A walk from each of
+    many origins over these alone doesn't gather what it has no use for."""
+    useful = reached(targets, arcs, by, backward=True).select(*by, F.col("v").alias("dst"))
+    return arcs.join(useful, [*by, "dst"], "left_semi")
+
+
 def component_order(reps: DataFrame, arcs: DataFrame, by: list[str]) -> DataFrame:
     """(by, component, successor): components whose representative a control-flow path from another's leads to."""
     from_ = reps.select(*by, F.col("component").alias("origin"), "v")
-    walk = reached(from_, arcs.where("label = 'CFG'"), [*by, "origin"])
+    walk = reached(from_, toward(arcs.where("label = 'CFG'"), reps.select(*by, "v"), by), [*by, "origin"])
     to = reps.select(*by, F.col("component").alias("successor"), "v")
     return walk.join(to, [*by, "v"]).where("origin <> successor").select(*by, F.col("origin").alias("component"), "successor")
 
@@ -163,13 +170,44 @@ def nearest_flagged(sources: DataFrame, arcs: DataFrame, flagged: DataFrame, by:
     return walk.where("depth > 0").join(stops, [*by, "v"], "left_semi")
 
 
+def least_ancestor(vertices: DataFrame, arcs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, v, least): the least vertex that leads to each of vertices (by, v), which have every end of an arc; each leads to itself.
+
+    A round takes the least label among those that lead to a vertex, then that label's label, so that the reach doubles.
+    """
+    step = stored(arcs.select(*by, "src", "dst").where("src <> dst").distinct(), "arcs")
+    label = stored(vertices.select(*by, "v").distinct().withColumn("least", F.col("v")), "labels")
+    while True:
+        near = step.join(label.withColumnRenamed("v", "src"), [*by, "src"]).groupBy(*by, F.col("dst").alias("v")).agg(F.min("least").alias("__near"))
+        low = label.join(near, [*by, "v"], "left").select(*by, "v", "least", F.least("least", F.coalesce("__near", "least")).alias("__low"))
+        ahead = label.select(*by, F.col("v").alias("__low"), F.col("least").alias("__ahead"))
+        new = stored(low.join(ahead, [*by, "__low"], "left").select(*by, "v", F.least("__low", F.coalesce("__ahead", "__low")).alias("least"), (F.least("__low", F.coalesce("__ahead", "__low")) < F.col("least")).alias("__moved")), "labels")
+        still = new.where("__moved").isEmpty()
+        forget(label)
+        label = new.drop("__moved")
+        label.stored_at = new.stored_at
+        if still:
+            forget(step)
+            return label
+
+
 def common_ancestors(pairs: DataFrame, arcs: DataFrame, by: list[str]) -> DataFrame:
-    """pairs (by, a, b) with `common`: whether a vertex leads to both; each is its own ancestor."""
+    """pairs (by, a, b) with `common`: whether a vertex leads to both; each is its own ancestor.
+
+    Two with one least ancestor have it in common. Only the ends of the other pairs are walked from.
+    """
     ends = pairs.select(*by, F.col("a").alias("v")).unionByName(pairs.select(*by, F.col("b").alias("v"))).distinct()
-    up = stored(reached(ends.withColumn("origin", F.col("v")), arcs, [*by, "origin"], backward=True).select(*by, "origin", "v"), "ancestors")
+    every = ends.unionByName(arcs.select(*by, F.col("src").alias("v"))).unionByName(arcs.select(*by, F.col("dst").alias("v"))).distinct()
+    every = stored(every, "vertices")
+    least = least_ancestor(every, arcs, by)
+    side = lambda c: least.select(*by, F.col("v").alias(c), F.col("least").alias(f"__l{c}"))
+    known = stored(pairs.join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"]), "pairs")
+    open_ = known.where("__la <> __lb").select(*by, "a", "b").distinct()
+    starts = open_.select(*by, F.col("a").alias("v")).unionByName(open_.select(*by, F.col("b").alias("v"))).distinct()
+    up = stored(reached(starts.withColumn("origin", F.col("v")), arcs, [*by, "origin"], backward=True).select(*by, "origin", "v"), "ancestors")
     a, b = up.select(*by, F.col("origin").alias("a"), "v"), up.select(*by, F.col("origin").alias("b"), "v")
-    met = pairs.join(a, [*by, "a"]).join(b, [*by, "b", "v"]).select(*by, "a", "b").distinct().withColumn("common", F.lit(True))
-    return pairs.join(met, [*by, "a", "b"], "left").fillna(False, ["common"])
+    met = open_.join(a, [*by, "a"]).join(b, [*by, "b", "v"]).select(*by, "a", "b").distinct().withColumn("__met", F.lit(True))
+    return known.join(met, [*by, "a", "b"], "left").select(*pairs.columns, (F.coalesce("__met", F.lit(False)) | (F.col("__la") == F.col("__lb"))).alias("common"))
 
 
 def closure(deps: DataFrame, by: list[str]) -> DataFrame:

@@ -66,6 +66,8 @@ def bound_parameters(args: DataFrame, params: DataFrame, by: list[str]) -> DataF
     return p.join(got, [*by, "k"], "left").select(*by, "pos", "name", "rest", "values")
 
 
+# What annotations say are fixed formats, which judges' instructions name.
+
 #: Columns of nodes that annotations are made from; those that a table lacks are null.
 NODE = {
     "node": "bigint", "name": "string", "code": "string", "file": "string", "call_type": "string", "sensitive": "boolean", "qualified_name": "string", "call_name": "string", "domain": "string", "module": "string", "property": "string",
