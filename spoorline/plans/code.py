@@ -89,7 +89,7 @@ def q_reached_events(spark, sf):
     return callgraph.reached_events(starts, f2f, e, ["g"])
 
 
-@query(f"""WITH {_CG} SELECT g, 'f' || usr || '.js' AS file, i, CASE WHEN i % 4 = 3 THEN 9 WHEN i % 4 = 0 THEN 9 WHEN i % 4 = 1 THEN 12 ELSE 30 END AS ec, CASE WHEN i % 4 < 3 THEN (i + 1) % n END AS callee FROM u""")
+@query(f"""WITH {_CG} SELECT g, 'f' || usr || '.js' AS file, i, CAST(CASE WHEN i % 4 = 3 THEN 9 WHEN i % 4 = 0 THEN 9 WHEN i % 4 = 1 THEN 12 ELSE 30 END AS BIGINT) AS ec, CASE WHEN i % 4 < 3 THEN (i + 1) % n END AS callee FROM u""")
 def q_callee_programs(spark, sf):
     """Calls whose expressions start at one place and end at several: the code tells which is meant; that one's callee is looked up by place."""
     spans, edges = _graphs(spark, sf)
@@ -257,7 +257,7 @@ def q_syntax_places(spark, sf):
     return here.join(st, ["file", "place"], "left").join(call, ["file", "place"], "left").join(member, ["file", "place"], "left").drop("file")
 
 
-@query(f"""WITH {EV}, t AS (SELECT *, line % 4 AS k FROM ev WHERE event_type IN ('click', 'view')) SELECT pkg % {PARTS} AS g, event_id AS result, CASE WHEN line = 0 THEN NULL ELSE file END AS file, CASE WHEN line > 0 AND event_type = 'click' THEN line - 1 END AS sl, CASE WHEN line > 0 AND event_type = 'click' THEN 20 END AS ec,
+@query(f"""WITH {EV}, t AS (SELECT *, line % 4 AS k FROM ev WHERE event_type IN ('click', 'view')) SELECT pkg % {PARTS} AS g, event_id AS result, CASE WHEN line = 0 THEN NULL ELSE file END AS file, CASE WHEN line > 0 AND event_type = 'click' THEN line - 1 END AS sl, CAST(CASE WHEN line > 0 AND event_type = 'click' THEN 20 END AS BIGINT) AS ec,
   CASE k WHEN 0 THEN 'a"b' WHEN 1 THEN 'x,y' WHEN 2 THEN '' ELSE '[1]' END AS arguments FROM t""")
 def q_trace_files(spark, sf):
     """Traces in CSV, read back with their callers: fields with commas, quotes and nothing in them, and rows of other widths."""

@@ -234,7 +234,7 @@ def q_relevant_files(spark, sf):
     return localization.relevant_files(files, p.withColumn("file", F.lit("f0.js")), cited, ["pkg"]).select("pkg", "file")
 
 
-@query(f"""WITH {COMP} SELECT pkg, component, CASE WHEN component % 8 = 1 THEN 0 ELSE 2 END AS kept, 'x' || component AS explanation FROM comp""")
+@query(f"""WITH {COMP} SELECT pkg, component, CAST(CASE WHEN component % 8 = 1 THEN 0 ELSE 2 END AS BIGINT) AS kept, 'x' || component AS explanation FROM comp""")
 def q_component_view(spark, sf):
     r = _reports(spark, sf).withColumn("sliced_code", F.lit("")).withColumn("reason", F.lit(""))
     v = localization.component_view(r, ["pkg"])
@@ -326,7 +326,7 @@ def q_sequences(spark, sf):
     return s.select("pkg", "user_id", F.col("n").cast("long").alias("n"), F.array_join("kinds", ",").alias("kinds"), F.md5("sequence").alias("digest"))
 
 
-@query(f"""WITH {_SEQ} SELECT pkg, idx, '/d' || line AS file_path, 'read' AS operation, 'plain_text' AS content_type, 6000 AS content_size FROM act WHERE event_type = 'click' AND line % 10 = 0""")
+@query(f"""WITH {_SEQ} SELECT pkg, idx, '/d' || line AS file_path, 'read' AS operation, 'plain_text' AS content_type, CAST(6000 AS BIGINT) AS content_size FROM act WHERE event_type = 'click' AND line % 10 = 0""")
 def q_io_records(spark, sf):
     return evidence.io_records(evidence.serialized(evidence.resolved(_acts(spark, sf))), ["pkg"])
 

@@ -312,7 +312,7 @@ def q_package_run(spark, sf):
     return outcome.join(judged.groupBy("g").agg(F.count("*").alias("components")), "g", "left").select("g", "judgement", "rule", F.coalesce("components", F.lit(0)).alias("components"))
 
 
-@query("""SELECT s_suppkey, s_suppkey % 7 AS downloads, s_nationkey AS dependents, CAST(s_suppkey AS VARCHAR) AS stars, CAST(s_nationkey AS VARCHAR) AS forks, '2' AS commits, CAST(s_suppkey % 90 AS VARCHAR) AS contributors FROM supplier""")
+@query("""SELECT s_suppkey, s_suppkey % 7 AS downloads, CAST(s_nationkey AS BIGINT) AS dependents, CAST(s_suppkey AS VARCHAR) AS stars, CAST(s_nationkey AS VARCHAR) AS forks, '2' AS commits, CAST(s_suppkey % 90 AS VARCHAR) AS contributors FROM supplier""")
 def q_repository_metadata(spark, sf):
     s = table(spark, sf, "supplier")
     obj = lambda **c: F.to_json(F.struct(*[v.alias(k) for k, v in c.items()]))
