@@ -26,6 +26,8 @@ from .repeats import runs
 
 #: Windows of a block, by which a hot bucket is split; kinds of runs of a bucket that is sorted in one task; windows sorted at once.
 BLOCK, FEW, AT_ONCE = 32, 2048, 1 << 19
+#: Rows of a key beyond which it is told by a small table of such keys, that Spark broadcasts by its size, rather than by a shuffle.
+HOT = 10_000
 
 
 def _longs(a: np.ndarray) -> pa.Array:
@@ -277,17 +279,27 @@ def _cut(size: int, with_text: bool):
     return over_batches(make)
 
 
+def _repeated(rows: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key is counted (key, n) more than once. Hot keys' rows aren't shuffled, so that none lands in one task."""
+    few = rows.join(counts.where((F.col("n") > 1) & (F.col("n") <= HOT)).select(*key), key, "left_semi")
+    hot = saved(counts.where(F.col("n") > HOT).select(*key), "hot")
+    if hot.isEmpty():
+        return few
+    cold = rows.join(hot, key, "left_anti").join(counts.where((F.col("n") > 1) & (F.col("n") <= HOT)).select(*key), key, "left_semi")
+    return cold.unionByName(rows.join(hot, key, "left_semi"))
+
+
 def _of_hot(runs: DataFrame, size: int) -> DataFrame:
     """(dk, s, e) of repeated windows in buckets of many kinds, by two distributed digits more; no bucket is gathered."""
     blocks = saved(runs.mapInArrow(_block_rows(size), "gram long, b int, core long, whole long, dk long, s int, e int, run_s int"), "blocks")
     digit = ["gram", "b", "core"]
     kinds = saved(blocks.groupBy(*digit, "whole").agg(F.count("*").alias("n"), F.min(F.struct("dk", "s", "e", "run_s")).alias("at")), "block_kinds")
-    alike = blocks.join(kinds.where("n > 1").select(*digit, "whole"), [*digit, "whole"], "left_semi").select("dk", "s", "e")
+    alike = _repeated(blocks, kinds, [*digit, "whole"]).select("dk", "s", "e")
     mixed = saved(kinds.groupBy(*digit).count().where("count > 1").select(*digit), "mixed_blocks")
     places = kinds.join(mixed, digit, "left_semi").select("core", "at.dk", F.col("at.run_s").alias("s"), F.col("at.s").alias("lo"), F.col("at.e").alias("hi"))
     windows = saved(places.join(runs.select("gram", "dk", "s", "o", "data"), ["dk", "s"]).mapInArrow(_window_rows(size), "gram long, core long, o int, h long, dk long, s int"), "windows")
-    twice = windows.groupBy("gram", "core", "o", "h").count().where("count > 1").drop("count")
-    single = windows.join(twice, ["gram", "core", "o", "h"], "left_semi").select("dk", "s", F.col("s").alias("e"))
+    counts = saved(windows.groupBy("gram", "core", "o", "h").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    single = _repeated(windows, counts, ["gram", "core", "o", "h"]).select("dk", "s", F.col("s").alias("e"))
     return alike.unionByName(single)
 
 
@@ -301,7 +313,7 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> tuple[DataFrame, DataFra
         each = saved(scanned.select("dk", "n_bytes", "grams", "runs", "first", "rel").mapInArrow(_repeated_runs(bits, size), "gram long, run long, dk long, s int, e int, o short"), "runs")
         # buckets, and in each the kinds of runs with one place of each
         kinds = saved(each.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("dk", "s", "e", "o")).alias("at")), "kinds")
-        whole = each.join(kinds.where("n > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("dk", "s", "e")
+        whole = _repeated(each, kinds, ["gram", "run"]).select("dk", "s", "e")
         mixed = saved(kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "mixed")
         places = kinds.select("gram", "at").join(mixed, "gram").select("gram", "n", "at.*")
         wanted = saved(places.join(names, "dk").groupBy("rk").agg(F.collect_list(F.struct("gram", "n", "dk", "s", "e", "o")).alias("want")), "wanted")

@@ -76,9 +76,10 @@ def test_suffix_dedup_equals_all_windows(spark, odd, docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("few", [2048, 1])
-def test_suffix_dedup_of_shared_passages(spark, monkeypatch, few):
+@pytest.mark.parametrize("few,hot", [(2048, 10_000), (1, 10_000), (1, 3), (2048, 1)])
+def test_suffix_dedup_of_shared_passages(spark, monkeypatch, few, hot):
     monkeypatch.setattr(suffix_dedup, "FEW", few)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     r = random.Random(5)
     word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     shared = [word(n) for n in (399, 400, 401, 700, 2500)]
